@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chronolattice.llm.mixture import mix_sources
+from chronolattice.llm.outliers import quality_rules
 from chronolattice.llm.substring_dedup import dedup_substrings
 
 
@@ -17,8 +20,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "cutoff")
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix_sources(_read(spark, sf_dir, "documents"), untaken=True)
+    keys = [F.col(f"mix.{c}").alias(c) for c in ("size", "source_size", "target", "bucket", "rank")]
+    per = rows.groupBy("doc_id", "source", *keys).agg(F.sum("mix.words").alias("taken"), F.sort_array(F.collect_set("mix.shard")).alias("shards"))
+    return per.select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", "shards").alias("shards"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_source_mix": op10_source_mix,
 }
 
 _W = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"

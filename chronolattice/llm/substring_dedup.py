@@ -7,9 +7,8 @@ with a smaller id. Two passes:
    smallest; equal windows have equal anchors, so an anchor occurs at least as often as its window) in a sparse
    count-min sketch. The sketches merge slice by slice; counters saturate at 3; the size is fixed by ``bits``.
 2. windows whose anchor is estimated to occur once cannot repeat and go no further. All others are grouped
-   exactly by 128-bit names. Before the shuffle each batch keeps one row a window and document at most from its
-   smallest document, and settles its other rows itself, so a window that a third of all documents hold
-   brings one row a batch to its group.
+   exactly by their names (anchor and context, or 96 bits of their own): see ``contexts``. A window that
+   a third of all documents hold brings a few rows a batch to its group.
 
 Defined results: a null text has no words; a null doc_id counts as larger than all others; rows that repeat a
 doc_id with the same text get the same result, with other texts each their own; ids that are equal never
@@ -26,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolattice.llm import contexts, sketch
 from chronolattice.llm import grams as g
-from chronolattice.llm import sketch
+from chronolattice.llm.cluster import partitions, written
 
 LAST = (1 << 63) - 1
 MOST = 3
@@ -58,7 +58,7 @@ def _anchored(data, at, a, b, gram, width):
 
 
 def window_sketch(docs: DataFrame, width: int, gram: int, bits: int) -> bytes:
-    """The merged sketch of anchor counts."""
+    """The merged sketch of anchor counts: two rows of counters, each by its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,85 +66,118 @@ def window_sketch(docs: DataFrame, width: int, gram: int, bits: int) -> bytes:
             found = []
             for a, b in g.chunks(at):
                 _, _, _, _, anchor, piece = _anchored(data, at, a, b, gram, width)
-                found.append(sketch.cells(piece[np.unique(anchor)], bits))
+                found.append(_both(piece[np.unique(anchor)], bits))
             if found and (out := sketch.parts(np.concatenate(found), bits)) is not None:
                 yield out
 
     return sketch.table(sketch.merge(docs.mapInArrow(run, "slice int, cells binary"), bits, MOST), bits, MOST)
 
 
-def repeated_windows(docs: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
-    """(d, k, ps): first words of windows that also start in a smaller document; k is the text key."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(window_sketch(docs.select("d", "t"), width, gram, bits))
+def _both(name: np.ndarray, bits: int) -> np.ndarray:
+    half = np.uint32(1 << (bits - 1))
+    return np.concatenate((sketch.cells(name, bits - 1), sketch.cells(g.mix(name ^ g.GOLD), bits - 1) + half))
+
+
+def _often(table: bytes, name: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both counters of a name are 2 at least."""
+    t = np.frombuffer(table, np.uint8)
+    c = _both(name, bits)
+    two = (t[c >> np.uint32(2)] >> ((c & np.uint32(3)) << np.uint32(1)).astype(np.uint8) & np.uint8(3)) >= 2
+    return two[: len(name)] & two[len(name) :]
+
+
+#: A window's name as packed into a context: 96 bits.
+PACKED = np.dtype([("h", "<u8"), ("i", "<u4")])
+#: Windows that a batch gathers before its contexts are compared with each other.
+GATHER = 1 << 20
+
+
+def _contexts(docs: DataFrame, table, width: int, gram: int, bits: int) -> DataFrame:
+    """Contexts of the anchors that are estimated to repeat, and what a batch knows of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        estimate = sketch.reader(shared.value, bits, MOST)
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             data, at = g.texts(batch.column(1))
-            rows = []
+            rows, held = [], 0
             for a, b in g.chunks(at):
                 name, counts, window, first, anchor, piece = _anchored(data, at, a, b, gram, width)
-                often = estimate(piece[anchor]) >= 2
+                if not len(first):
+                    continue
+                often = _often(table.value, piece[anchor], bits)
                 if not often.any():
                     continue
-                window, first = window[often], first[often]
+                window, first, anchor = window[often], first[often], anchor[often]
                 other = g.mix(name ^ g.GOLD)
                 total = np.zeros(len(first), g.U)
                 for j in range(width):
                     total = total * g.INVERSE + other[first + j]
                 row = np.searchsorted(counts, first, side="right") - 1
-                rows.append((window, g.mix(total), ids[a + row], keys[a + row] | (first - counts[row])))
-            if not rows:
-                continue
-            h, h2, d, k = (np.concatenate(x) for x in zip(*rows, strict=True))
-            order = np.lexsort((k, d, h2, h))
-            h, h2, d, k = h[order], h2[order], d[order], k[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])))
-            least = d[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            known = d > least
-            sent = ~known
-            yield _rows(h[sent], h2[sent], d[sent], k[sent], known=False)
-            if known.any():
-                yield _rows(None, None, d[known], k[known], known=True)
-
-    from chronolattice.llm.cluster import written
-
-    found = written(docs.select("d", "t", text_key(F.col("t")).alias("k")).mapInArrow(run, "h long, h2 long, d long, ps binary, k long"), "windows")
-    w = Window.partitionBy("h", "h2")
-    open_ = found.where("h is not null").select("h", "h2", "d", "k").withColumn("least", F.min("d").over(w)).where("d > least").select("d", "k")
-    per = open_.groupBy("d", F.shiftright(F.col("k"), 32).alias("x")).agg(F.sort_array(F.collect_set(F.col("k").bitwiseAND((1 << 32) - 1).cast("int"))).alias("ps"))
-    local = found.where("h is null").select("d", F.shiftright(F.col("k"), 32).alias("x"), "ps")
-    return per, local
-
-
-def _rows(h, h2, d, k, known: bool) -> pa.RecordBatch:
-    """Open windows as rows; windows that are settled already as one row a document."""
-    names = ["h", "h2", "d", "ps", "k"]
-    if not known:
-        n = len(d)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(d), pa.nulls(n, pa.binary()), pa.array(k)], names)
-    order = np.lexsort((k, d))
-    d, k = d[order], k[order]
-    cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] >> 32 != k[:-1] >> 32))))
-    low = (k & 0xFFFFFFFF).astype(np.uint32)
-    packed = [x.tobytes() for x in np.split(low, cut[1:])]
-    n = len(cut)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(d[cut]), pa.array(packed, pa.binary()), pa.array(k[cut])], names)
-
-
-def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 13, gram: int = 7, bits: int = 27) -> DataFrame:
+                cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1))))
+                n = np.diff(np.concatenate((cut, [len(first)])))
+                inside = np.arange(len(first)) - np.repeat(cut, n) + np.repeat(first[cut] - anchor[cut] + width, n)
+                c = g.mix(np.add.reduceat(g.mix(window + inside.astype(g.U) * g.GOLD), cut) + n.astype(g.U))
+                w = np.empty(len(first), PACKED)
+                w["h"], w["i"] = window, (g.mix(total) >> g.U(32)).astype(np.uint32)
+                packed = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer((np.concatenate((cut, [len(first)])) * PACKED.itemsize).astype(np.int32)), pa.py_buffer(w.tobytes())])
+                rows.append((piece[anchor[cut]], c, ids[a + row[cut]], keys[a + row[cut]] | (first[cut] - counts[row[cut]]), n, packed))
+                held += len(first)
+                if held > GATHER:
+                    yield from _sent(rows)
+                    rows, held = [], 0
+            if rows:
+                yield from _sent(rows)
+
+    return docs.mapInArrow(run, contexts.OPEN)
+
+
+def _sent(rows: list) -> Iterator[pa.RecordBatch]:
+    *parts, w = zip(*rows, strict=True)
+    return contexts.open_rows(*(np.concatenate(x) for x in parts), pa.concat_arrays(w), within=False)
+
+
+def _windows(ws: list[bytes], ns: np.ndarray):
+    all_ = np.frombuffer(b"".join(ws), PACKED)
+    n = ns.astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(all_)) - np.repeat(np.cumsum(n) - n, n), all_["h"].copy(), all_["i"].copy()
+
+
+def repeated_windows(docs: DataFrame, width: int, gram: int, bits: int) -> DataFrame:
+    """(d, x, ps, bs) of each document with windows that also start in a smaller one: x is the text key; ps has runs
+    (first window, windows), bs packed ones."""
+    table = docs.sparkSession.sparkContext.broadcast(window_sketch(docs.select("d", "t"), width, gram, bits))
+    open_ = _contexts(docs.select("d", "t", text_key(F.col("t")).alias("k")), table, width, gram, bits)
+    dealt = open_.repartition(partitions(docs.sparkSession), "a").sortWithinPartitions("a", "c", "d", "k")
+    found = written(dealt.mapInArrow(lambda x: contexts.compare(x, _windows, within=False), contexts.FOUND), "windows")
+    single = found.where("kind = 1").select("h", "i", "d", "k").withColumn("least", F.min("d").over(Window.partitionBy("h", "i"))).where("d > least").select("d", "k", F.lit(1).alias("n"))
+    runs = found.where("kind = 0").select("d", "k", "n").unionByName(single)
+    x = F.shiftright("k", 32).alias("x")
+    flags = runs.select("d", x, F.struct(F.col("k").bitwiseAND(contexts.LOW).cast("int").alias("p"), "n").alias("r"), F.lit(None).cast("binary").alias("b")).unionByName(found.where("kind = 2").select("d", x, F.lit(None).cast("struct<p:int,n:int>").alias("r"), "b"))
+    return flags.groupBy("d", "x").agg(F.collect_list("r").alias("ps"), F.collect_list("b").alias("bs"))
+
+
+def covered(ps, bs, n: int, width: int) -> np.ndarray:
+    """Which of n items lie in a flagged window."""
+    runs = [np.stack((ps.values.field(0).to_numpy(), ps.values.field(1).to_numpy()), 1)] if ps.is_valid and len(ps.values) else []
+    runs += [np.frombuffer(x.as_buffer(), np.uint32).reshape(-1, 2) for x in bs.values] if bs.is_valid else []
+    if not runs:
+        return np.zeros(n, bool)
+    r, step = np.concatenate(runs).astype(np.int64), np.zeros(n + 1, np.int64)
+    np.add.at(step, r[:, 0], 1)
+    np.add.at(step, np.minimum(r[:, 0] + r[:, 1] + width - 1, n), -1)
+    return np.cumsum(step[:n]) > 0
+
+
+def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 13, gram: int = 7, bits: int = 28) -> DataFrame:
     """(doc_id, kept_text, n_words, n_removed, kept_sha256, spans) of every row.
 
     ``spans``: [first word, word after the last) of each removed run. ``kept_text``: the words left, joined by
-    one space. ``bits``: the sketch has 2**bits two-bit counters (32 MB for 27), whatever the input."""
+    one space. ``bits``: the sketch has 2**bits two-bit counters (64 MB for 28), whatever the input."""
     if not 1 <= gram <= width:
         raise ValueError("gram must be from 1 to width")
     base = row_keys(docs, text, doc_id)
-    per, local = repeated_windows(base, width, gram, bits)
-    flags = per.select("d", "x", "ps", F.lit(None).cast("binary").alias("b")).unionByName(local.select("d", "x", F.lit(None).cast("array<int>").alias("ps"), F.col("ps").alias("b")))
-    flags = flags.groupBy("d", "x").agg(F.flatten(F.collect_list("ps")).alias("ps"), F.collect_list("b").alias("bs"))
+    flags = repeated_windows(base, width, gram, bits)
     joined = base.withColumn("x", F.shiftright(text_key(F.col("t")), 32)).join(flags, ["d", "x"], "left").select("d", "t", "ps", "bs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +189,7 @@ def dedup_substrings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_
             for i in range(batch.num_rows):
                 starts, ends, _ = g.words(data, at, i, i + 1)
                 n = len(starts)
-                first = [np.asarray(ps[i].values)] if ps[i].is_valid else []
-                first += [np.frombuffer(x.as_buffer(), np.uint32) for x in bs[i].values] if bs[i].is_valid else []
-                gone = np.zeros(n, bool)
-                if first:
-                    step = np.zeros(n + 1, np.int32)
-                    np.add.at(step, (p := np.concatenate(first).astype(np.int64)), 1)
-                    np.add.at(step, p + width, -1)
-                    gone = np.cumsum(step[:n]) > 0
+                gone = covered(ps[i], bs[i], n, width)
                 kept = b" ".join(raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist()))
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2)
                 for c, v in zip(cols, (kept.decode("utf-8", "replace"), n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), edge.tolist()), strict=True):
