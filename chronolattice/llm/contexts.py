@@ -23,7 +23,8 @@ U = np.uint64
 #: Rows between the stages. a, c: names of anchor and context; d, k: document and packed (text key, first window);
 #: n: windows; w: what the windows' names can be made from; b: known repeats of a document.
 OPEN = "a long, c long, d long, k long, n int, w binary, b binary"
-#: Rows after them. kind 0: n windows from k on are repeats; 1: a window still to compare; 2: known repeats (b).
+#: Rows after them. kind 0: n windows from k on are repeats; 1: a window still to compare; 2: known repeats (b); 3: a
+#: context still to compare.
 FOUND = "kind byte, h long, i int, d long, k long, n int, b binary"
 LOW = (1 << 32) - 1
 
@@ -54,19 +55,23 @@ def open_rows(a, c, d, k, n, w: pa.Array, within: bool) -> Iterator[pa.RecordBat
     a, c, d, k, n = a[order], c[order], d[order], k[order], n[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    known = ~new if within else d > d[head]
+    known = (d > d[head]) | (k > k[head]) if within else d > d[head]
     sent = np.flatnonzero(~known)
     yield batch_of(OPEN, len(sent), a=a[sent].view(np.int64), c=c[sent].view(np.int64), d=d[sent], k=k[sent], n=n[sent].astype(np.int32), w=pick(w, order[sent]))
     if known.any():
         yield known_rows(d[known], k[known], n[known])
 
 
-def compare(batches: Iterator[pa.RecordBatch], windows: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], within: bool) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (a, c, d, k). windows(ws, ns): row numbers, offsets and names (64 and 32 bits) of all windows."""
-    last_a = last_c = least = None
+def compare(batches: Iterator[pa.RecordBatch], windows: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None, within: bool) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (a, c, d, k). windows(ws, ns): row numbers, offsets and names (64 and 32 bits) of all windows;
+    without it, contexts that need a closer look are passed on as rows of kind 3, with the anchor's name in h."""
+    last_a = last_c = least = lowest = None
     multi, held = False, None  # of the anchor that the last batch ended in
 
-    def apart(d, k, n, w) -> Iterator[pa.RecordBatch]:
+    def apart(d, k, n, w, a) -> Iterator[pa.RecordBatch]:
+        if windows is None:
+            yield batch_of(FOUND, len(d), kind=np.full(len(d), 3, np.int8), h=a, d=d, k=k, n=n.astype(np.int32))
+            return
         for s in range(0, len(d), 20_000):
             row, at, h, i = windows(w.slice(s, 20_000).to_pylist(), n[s : s + 20_000])
             yield batch_of(FOUND, len(row), kind=np.ones(len(row), np.int8), h=h.view(np.int64), i=i.view(np.int32), d=d[s + row], k=k[s + row] + at)
@@ -89,7 +94,8 @@ def compare(batches: Iterator[pa.RecordBatch], windows: Callable[[list[bytes], n
         group = np.cumsum(new_c)
         heads = np.concatenate(([least if on_c else 0], d[new_c]))
         low = heads[group]
-        gone = ~new_c if within else d > low
+        low_k = np.concatenate(([lowest if on_c else 0], k[new_c]))[group]
+        gone = (d > low) | (k > low_k) if within else d > low
         if gone.any():
             yield batch_of(FOUND, int(gone.sum()), kind=np.zeros(int(gone.sum()), np.int8), d=d[gone], k=k[gone], n=n[gone].astype(np.int32))
         which = np.cumsum(new_a)  # 0: the anchor the last batch ended in
@@ -105,14 +111,14 @@ def compare(batches: Iterator[pa.RecordBatch], windows: Callable[[list[bytes], n
         many = first & (contexts[which] >= 2)
         if many.any():
             p = np.flatnonzero(many)
-            yield from apart(d[p], k[p], n[p], pick(w, p))
+            yield from apart(d[p], k[p], n[p], pick(w, p), a[p])
         end = which == which[-1]
         if contexts[which[-1]] < 2:
             p = np.flatnonzero(end & first)
-            mine = (d[p], k[p], n[p], pick(w, p))
+            mine = (d[p], k[p], n[p], pick(w, p), a[p])
             if held is not None and which[-1] == 0:
-                mine = (*(np.concatenate((x, y)) for x, y in zip(held[:3], mine[:3], strict=True)), pa.concat_arrays([held[3], mine[3]]))
+                mine = tuple(pa.concat_arrays([x, y]) if isinstance(x, pa.Array) else np.concatenate((x, y)) for x, y in zip(held, mine, strict=True))
             held = mine
         else:
             held = None
-        multi, last_a, last_c, least = contexts[which[-1]] >= 2, a[-1], c[-1], low[-1]
+        multi, last_a, last_c, least, lowest = contexts[which[-1]] >= 2, a[-1], c[-1], low[-1], low_k[-1]
