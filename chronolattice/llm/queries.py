@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolattice.llm.decontaminate import contaminated
+from chronolattice.llm.html_extract import extract_pages
 from chronolattice.llm.jaccard_join import jaccard_join
+from chronolattice.llm.license_scan import scan_licenses
 from chronolattice.llm.mixture import mix_sources
 from chronolattice.llm.outliers import quality_rules
+from chronolattice.llm.quality_mil import classify_quality
 from chronolattice.llm.suffix_dedup import dedup_bytes
 from chronolattice.llm.substring_dedup import dedup_substrings
 
@@ -18,6 +22,22 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
@@ -42,6 +62,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extract": op2_html_extract,
+    "op3_quality_mil": op3_quality_mil,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_license_scan": op5_license_scan,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
