@@ -156,3 +156,24 @@ def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     out = rows.join(shard, on, "left").withColumn("mix", F.struct("mix.*", "pass", words.alias("words"), "shard", slot.alias("slot")))
     out = out.select(*docs.columns, "mix")
     return out if untaken else out.where("mix.words > 0")
+
+
+def mixed_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", shards: int = 16, **more) -> DataFrame:
+    """The mix as documents: a row for every time one is taken, dealt into shards and shuffled inside each. A source's
+    last part pass ends inside one document at most; that row's text is cut after the words it gives. The plan is made
+    without texts, which are joined once and dealt once."""
+    slim = docs.select(F.col(doc_id), F.col(text), F.col(source))
+    takes = mix_sources(slim, text=text, doc_id=doc_id, source=source, shards=shards, **more).groupBy(doc_id, "mix.order").agg(F.collect_list(F.struct("mix.words", "mix.size", "mix.shard", "mix.slot")).alias("__takes"))
+    key = F.xxhash64(F.lit(more.get("seed", 7)), F.col(doc_id).cast("string"), F.col(text))
+    keyed = docs.withColumn("__k", key).dropDuplicates([doc_id, "__k"])
+    t = takes.select(F.col(doc_id).alias("__i"), F.col("order").alias("__o"), "__takes")
+    rows = keyed.join(t, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__o"))).withColumn("__t", F.explode("__takes"))
+    given = F.when(F.col("__t.words") < F.col("__t.size"), _first_words(F.col(text), F.col("__t.words"))).otherwise(F.col(text))
+    rows = rows.withColumn(text, given)
+    return rows.repartition(shards, F.col("__t.shard")).sortWithinPartitions("__t.shard", "__t.slot").select(*docs.columns)
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word (n is 1 at least)."""
+    words = F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0))
+    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")

@@ -210,3 +210,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text",
     model = train(docs, labels, text=text, doc_id=doc_id, label=label, sample=sample)
     s = score(docs.withColumnRenamed(doc_id, "doc_id") if doc_id != "doc_id" else docs, model, text=text)
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages", "top_passage")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 1500) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; they are scored where they are read."""
+    model = train(docs, labels, text=text, doc_id=doc_id, label=label, sample=sample)
+    return score(docs, model, text=text, keep=tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)

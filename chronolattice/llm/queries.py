@@ -14,14 +14,29 @@ from chronolattice.llm.license_scan import scan_licenses
 from chronolattice.llm.mixture import mix_sources
 from chronolattice.llm.outliers import quality_rules
 from chronolattice.llm.quality_mil import classify_quality
-from chronolattice.llm.suffix_dedup import dedup_bytes
 from chronolattice.llm.substring_dedup import dedup_substrings
+from chronolattice.llm.suffix_dedup import dedup_bytes
+from chronolattice.llm.token_coder import encode_documents
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The vocabulary that the queries encode with, by name.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_read(spark, sf_dir, "documents"), tokenizer=tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
 
@@ -62,6 +77,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_coder": op1_token_coder,
     "op2_html_extract": op2_html_extract,
     "op3_quality_mil": op3_quality_mil,
     "op4_decontaminate": op4_decontaminate,
