@@ -35,20 +35,22 @@ from chronolattice.llm.cluster import release, scratch
 from chronolattice.llm.contexts import batch_of
 from chronolattice.llm.substring_dedup import LAST, row_keys
 
-BLOCK, LANES, MAGIC = 8192, 256, b"CMR1"
+BLOCK, LANES, MAGIC = 8192, 1024, b"CMR1"
 U, I = np.uint64, np.int64  # noqa: E741
 BITS0 = 22  # of order-0 frequencies
-B1, B2 = 12, 14  # log2 of the order-1 and order-2 tables
+B1, B2 = 12, 13  # log2 of the order-1 and order-2 tables
 MASK48, LOW32 = U((1 << 48) - 1), U((1 << 32) - 1)
 #: Steps at which order-0 frequencies are counted anew.
-REBUILD = frozenset((128, 512, 2048, 5120))
+REBUILD = frozenset((64, 256, 1024, 3072, 6144))
 
 
 class Mixer:
-    """The models of many lanes, each started anew."""
+    """The models of many lanes, each started anew. ``ids``: (step, lane), filled by the coder as far as it has come."""
 
-    def __init__(self, lanes: int, vocab: int):
-        self.n, self.v = lanes, vocab
+    def __init__(self, lanes: int, vocab: int, ids: np.ndarray):
+        if vocab > 1 << (BITS0 - 2):
+            raise ValueError("the vocabulary is too large for order-0 frequencies")
+        self.n, self.v, self.ids = lanes, vocab, ids
         self.lane = np.arange(lanes, dtype=I)
         self.t1, self.k1 = np.zeros(lanes << B1, np.int32), np.zeros(lanes << B1, np.uint8)
         self.t2, self.k2 = np.zeros(lanes << B2, np.int32), np.zeros(lanes << B2, np.uint8)
@@ -56,26 +58,29 @@ class Mixer:
         self.h1, self.h2 = np.tile(start, lanes), np.tile(start, lanes)
         self.w = np.full((3, lanes), 1 / 3)
         self.prev1, self.prev2 = np.zeros(lanes, I), np.zeros(lanes, I)
-        self.count = np.zeros(lanes * vocab, np.uint16)
-        flat = (1 << BITS0) // vocab
-        self.step0 = flat
-        self.cum = (np.arange(vocab, dtype=np.uint32) * np.uint32(flat) + (self.lane[:, None] << BITS0).astype(np.uint32)).ravel()
-        self.end = np.full(lanes, flat * vocab, I)
-        self.at1, self.at2, self.at0 = self.lane << B1, self.lane << B2, self.lane * vocab
-        self.at16 = self.lane * 16
-
-    def rebuild(self, seen: int) -> None:
-        scale = np.uint32(((1 << BITS0) - self.v) // seen)
-        for a in range(0, self.n, 16):
-            b = min(a + 16, self.n)
-            f = self.count[a * self.v : b * self.v].reshape(b - a, self.v).astype(np.uint32)
-            f *= scale
-            f += np.uint32(1)
-            c = np.cumsum(f, axis=1, dtype=np.uint32)
-            self.end[a:b] = c[:, -1]
-            c -= f
-            c += (self.lane[a:b, None] << BITS0).astype(np.uint32)
-            self.cum[a * self.v : b * self.v] = c.ravel()
+        # order 0: ids seen so far (sorted by lane and id), where their intervals begin and their sizes; then new ids alike
+        self.keys, self.begin, self.size = np.zeros(1, I), np.zeros(1, I), np.zeros(1, I)
+        self.seen, self.each = np.zeros(lanes, I), np.full(lanes, (1 << BITS0) // vocab, I)
+        self.at1, self.at2 = self.lane << B1, self.lane << B2
+        self.at16, self.base, self.row = self.lane * 16, self.lane << BITS0, self.lane * vocab
+        self.keys[0], self.begin[0] = -1, -1
+
+    def rebuild(self, steps: int) -> None:
+        """Counts the ids of the first ``steps`` steps. New ids keep a share that follows how many ids were new."""
+        x = np.sort(self.ids[:steps].T + self.row[:, None], axis=1).ravel()
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        count = np.diff(np.concatenate((first, [len(x)])))
+        key = x[first]
+        lane = key // self.v
+        kinds = np.bincount(lane, minlength=self.n)
+        free = np.maximum(2 * self.v, (1 << BITS0) // 16 * 15 * kinds // (steps + kinds))
+        scale = ((1 << BITS0) - free) // steps
+        size = count * scale[lane]
+        run = np.cumsum(size) - size
+        self.keys, self.size = key, size
+        self.begin = run - run[np.searchsorted(lane, self.lane)][lane] + (lane << BITS0)
+        self.seen = scale * steps
+        self.each = ((1 << BITS0) - self.seen) // self.v
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Sizes of the intervals of order 2's and order 1's id, of 65536."""
@@ -95,18 +100,21 @@ class Mixer:
 
     def interval(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order 0's interval of an id in some lanes: start and size, of 2**BITS0."""
-        at = self.at0[lanes] + ids
-        base = lanes << BITS0
-        start = self.cum[at].astype(I) - base
-        stop = self.end[lanes]
-        inner = ids < self.v - 1
-        stop[inner] = self.cum[at[inner] + 1].astype(I) - base[inner]
-        return start, stop - start
-
-    def find(self, lanes: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the targets; lanes ascend."""
-        target = np.minimum(target, self.end[lanes] - 1)
-        return np.searchsorted(self.cum, ((lanes << BITS0) + target).astype(np.uint32), side="right") - 1 - self.at0[lanes]
+        key = self.row[lanes] + ids
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        each = self.each[lanes]
+        known = self.keys[at] == key
+        start = np.where(known, self.begin[at] - self.base[lanes], self.seen[lanes] + ids * each)
+        return start, np.where(known, self.size[at], each)
+
+    def find(self, lanes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose intervals hold the targets, with these; lanes ascend."""
+        at = np.maximum(np.searchsorted(self.begin, self.base[lanes] + target, side="right") - 1, 0)
+        each, seen = self.each[lanes], self.seen[lanes]
+        known = target < seen
+        fresh = np.minimum((target - seen) // each, self.v - 1)
+        x = np.where(known, self.keys[at] - self.row[lanes], fresh)
+        return x, np.where(known, self.begin[at] - self.base[lanes], seen + fresh * each), np.where(known, self.size[at], each)
 
     def update(self, ids: np.ndarray) -> None:
         hit1, hit2 = self.c1 == ids, self.c2 == ids
@@ -125,7 +133,6 @@ class Mixer:
             k[i] = np.where(hit, np.minimum(q + 1, 15), np.where(q > 1, q >> 1, 1)).astype(np.uint8)
             new = np.flatnonzero(~hit & (q <= 1))
             t[i[new]] = ids[new]
-        self.count[self.at0 + ids] += np.uint16(1)
         self.prev2, self.prev1 = self.prev1, ids
 
 
@@ -135,7 +142,7 @@ def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
     ids = np.zeros((most, n), I)
     for j, b in enumerate(blocks):
         ids[: len(b), j] = b
-    m = Mixer(n, vocab)
+    m = Mixer(n, vocab, ids)
     low, rng = np.zeros(n, U), np.full(n, MASK48, U)
     out, pos = np.zeros((n, most * 4 + 16), np.uint16), np.zeros(n, I)
 
@@ -188,16 +195,16 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
         heads.append(struct.unpack_from("<III", p, 4))
     n, most, vocab = len(payloads), max(h[0] for h in heads), heads[0][1]
     words = [np.frombuffer(p, "<u2", offset=16) for p in payloads]
-    code = np.zeros((n, max(map(len, words)) + 4), U)
+    code = np.zeros((n, max(map(len, words)) + 4), np.uint16)
     for j, w in enumerate(words):
         code[j, : len(w)] = w
     # lanes that are shorter read zeros past their end, and what they yield is cut off
     width = code.shape[1]
-    m = Mixer(n, vocab)
+    ids = np.zeros((most, n), I)
+    m = Mixer(n, vocab, ids)
     low, rng = np.zeros(n, U), np.full(n, MASK48, U)
-    value = code[:, 0] << U(32) | code[:, 1] << U(16) | code[:, 2]
+    value = code[:, 0].astype(U) << U(32) | code[:, 1].astype(U) << U(16) | code[:, 2].astype(U)
     pos = np.full(n, 3, I)
-    ids = np.zeros((most, n), I)
     for step in range(most):
         if step in REBUILD:
             m.rebuild(step)
@@ -214,8 +221,7 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
         e = np.flatnonzero(~(is2 | is1))
         if len(e):
             r = rng[e] >> U(BITS0)
-            x[e] = m.find(e, (((value[e] - low[e]) & MASK48) // r).astype(I))
-            s, z = m.interval(e, x[e])
+            x[e], s, z = m.find(e, (((value[e] - low[e]) & MASK48) // r).astype(I))
             low[e] += r * s.astype(U)
             rng[e] = r * z.astype(U)
         while True:
@@ -229,7 +235,7 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
                 rng[c] = (U(0) - low[c]) & LOW32
             low[i] = low[i] << U(16) & MASK48
             rng[i] <<= U(16)
-            value[i] = (value[i] << U(16) & MASK48) | code[i, np.minimum(pos[i], width - 1)]
+            value[i] = (value[i] << U(16) & MASK48) | code[i, np.minimum(pos[i], width - 1)].astype(U)
             pos[i] += 1
         ids[step] = x
         m.update(x)
