@@ -25,7 +25,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = """o AS (SELECT o_custkey c, 'm.o' || o_orderkey m, o_orderkey k, o_orderstatus s, year(o_orderdate) y FROM orders),
     g AS (SELECT c, coalesce(list(m ORDER BY k) FILTER (y >= 2000), []) p, coalesce(list(m) FILTER (s = 'F'), []) g FROM o GROUP BY c),
     s AS (SELECT 'Orders of ' || c || CASE WHEN c % 3 = 0 THEN ' in 2001?' ELSE '?' END question, (c % 3 = 0 OR c BETWEEN 1000 AND 9999) temporal, len(p) > 0 answered,
-          CASE WHEN len(p) + len(g) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(p, g)) / (len(p) + len(g)) END f1, CASE WHEN len(p) > 0 AND list_contains(g, p[1]) THEN 1.0 ELSE 0.0 END hits1, CASE WHEN list_sort(p) = list_sort(g) THEN 1.0 ELSE 0.0 END acc FROM g)"""
+          CASE WHEN len(p) + len(g) = 0 THEN 1e0 ELSE 2e0 * len(list_intersect(p, g)) / (len(p) + len(g)) END f1, CASE WHEN len(p) > 0 AND list_contains(g, p[1]) THEN 1e0 ELSE 0e0 END hits1, CASE WHEN list_sort(p) = list_sort(g) THEN 1e0 ELSE 0e0 END acc FROM g)"""
 
 #: Expressions of every kind, some of them broken.
 BEAMS = (

@@ -34,7 +34,13 @@ def read_dictionary(spark: SparkSession, path: str, name: str, number: str, sep:
 
 def read_labels(spark: SparkSession, path: str, *, compat: bool = False) -> DataFrame:
     """(mid, label, num) of a CSV file; commas behind a backslash are text, unless ``compat`` reads them as they stand."""
-    return spark.read.csv(path, schema="mid string, label string, num bigint", escape='"' if compat else "\\", quote='"')
+    if compat:
+        return spark.read.csv(path, schema="mid string, label string, num bigint", escape='"', quote='"')
+    # a field is quoted, or runs to a comma without a backslash before it
+    line = r'^([^,]*),("(?:[^"\\]|\\.|"")*"|(?:[^,\\]|\\.)*),?\s*(-?\d*)'
+    part = lambda i: F.regexp_extract("value", line, i)
+    label = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(2), '^"|"$', ""), '""', '"'), r"\\(.)", "$1")
+    return spark.read.text(path).where("value != ''").select(part(1).alias("mid"), label.alias("label"), F.when(part(3) != "", part(3)).cast("bigint").alias("num"))
 
 
 def read_int_triples(spark: SparkSession, path: str) -> DataFrame:
