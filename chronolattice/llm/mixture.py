@@ -13,7 +13,7 @@ number of buckets follows the source's size. The tree is walked on the executors
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a source without words
 gets target 0; rows that repeat a doc_id each count; an empty table gives an empty result; other columns
-stay as they are.
+stay as they are, but for one named mix, which the result replaces.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float) -> list
 def source_plan(docs: DataFrame, source: str, cycle: Sequence[float], most: float) -> DataFrame:
     """(source_key, source_size, target): one row a source. Sources are few against documents; they are ranked
     and given targets in one task."""
-    sums = docs.groupBy(F.col(source).alias("s")).agg(F.sum("size").alias("z"))
+    sums = docs.groupBy(F.col(source).alias("s")).agg(F.sum("__size").alias("z"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
@@ -95,27 +95,25 @@ def shard_quota(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
 def plan_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = (1, 2, 3), most: float = 3.0, bucket_docs: int = 256, seed: int = 7) -> DataFrame:
     """All columns of ``docs`` and, as a struct ``mix``: size, source_size, target, order (keyed hash), bucket, rank
     (place in the bucket), passes (whole passes taken), rest (words of the part pass) and taken. Exact but for the fraction of a word in a target."""
-    d = docs.withColumn("size", size_of(F.col(text))) if "size" not in docs.columns else docs.select(*[F.col(c) for c in docs.columns if c != "size"], F.col("size").alias("__size")).withColumn("size", size_of(F.col(text)))
-    key = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text))
-    d = d.withColumn("__o", key)
-    plan = source_plan(d, source, list(weights), most)
-    count = d.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("docs"))
-    plan = plan.join(count, plan.s.eqNullSafe(count.s)).select(plan.s, "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket_docs)).cast("long").alias("buckets"))
-    d = d.join(plan, F.col(source).eqNullSafe(plan.s)).drop("s")
+    docs = docs.drop("mix")
+    d = docs.withColumn("__size", size_of(F.col(text))).withColumn("__o", F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text)))
+    plan = source_plan(d, source, list(weights), most).select(F.col("s").alias("__s"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
+    count = d.groupBy(F.col(source).alias("__c")).agg(F.count("*").alias("__docs"))
+    plan = plan.join(count, plan["__s"].eqNullSafe(count["__c"])).select("__s", "__total", "__target", F.greatest(F.lit(1), F.ceil(F.col("__docs") / bucket_docs)).cast("long").alias("__buckets"))
+    d = d.join(plan, F.col(source).eqNullSafe(F.col("__s"))).drop("__s")
     # the hash's upper 31 bits, dealt evenly into buckets in the hash's order
-    d = d.withColumn("__b", F.shiftright(F.shiftrightunsigned("__o", 33) * F.col("buckets"), 31))
-    d = d.withColumn("__f", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    d = d.withColumn("__r", F.floor(F.col("target") - F.col("__f") * F.col("source_size")).cast("long"))
+    d = d.withColumn("__b", F.shiftright(F.shiftrightunsigned("__o", 33) * F.col("__buckets"), 31))
+    d = d.withColumn("__f", F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(0).cast("long"))
+    d = d.withColumn("__r", F.floor(F.col("__target") - F.col("__f") * F.col("__total")).cast("long"))
     order = Window.partitionBy(source, "__b").orderBy(F.shiftrightunsigned("__o", 33), "__o", doc_id)
     inside = order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy(F.col(source).alias("s"), F.col("__b").alias("bb")).agg(F.sum("size").alias("z"))
-    before = sums.withColumn("before", F.coalesce(F.sum("z").over(Window.partitionBy("s").orderBy("bb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("__n", F.row_number().over(order))
-    d = d.join(before.drop("z"), F.col(source).eqNullSafe(F.col("s")) & (F.col("__b") == F.col("bb")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__r") - F.col("before") - F.col("__in"))).cast("long")
-    mix = F.struct("size", "source_size", "target", F.col("__o").alias("order"), F.col("__b").alias("bucket"), F.col("__n").alias("rank"), F.col("__f").alias("passes"), part.alias("rest"), (F.col("__f") * F.col("size") + part).alias("taken"))
-    keep = [F.col("__size").alias("size") if c == "size" else F.col(c) for c in docs.columns]
-    return d.withColumn("mix", mix).select(*keep, "mix")
+    sums = d.groupBy(F.col(source).alias("__s"), F.col("__b").alias("__bb")).agg(F.sum("__size").alias("__z"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__z").over(Window.partitionBy("__s").orderBy("__bb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0))).withColumn("__n", F.row_number().over(order))
+    d = d.join(before.drop("__z"), F.col(source).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__bb")))
+    part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__r") - F.col("__before") - F.col("__in"))).cast("long")
+    mix = F.struct(F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__o").alias("order"), F.col("__b").alias("bucket"), F.col("__n").alias("rank"), F.col("__f").alias("passes"), part.alias("rest"), (F.col("__f") * F.col("__size") + part).alias("taken"))
+    return d.withColumn("mix", mix).select(*docs.columns, "mix")
 
 
 def block_shards(planned: DataFrame, *, source: str = "source", shards: int = 16, seed: int = 7) -> DataFrame:
@@ -146,14 +144,16 @@ def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """The mix itself: a row for every time a document is taken, with the columns of ``docs`` and the struct ``mix``
     extended by pass, words (taken this time), shard and slot (its order inside the shard). With ``untaken``, a
     document that is not taken also has a row, of 0 words."""
+    docs = docs.drop("mix")
     planned = plan_documents(docs, text=text, doc_id=doc_id, source=source, weights=weights, most=most, bucket_docs=bucket_docs, seed=seed)
     shard = block_shards(planned, source=source, shards=shards, seed=seed)
     last = F.col("mix.passes") + F.when(F.col("mix.rest") > 0, 1).otherwise(0)
     rows = planned.withColumn("__p", F.explode_outer(F.when(last > 0, F.sequence(F.lit(1).cast("long"), last))))
-    on = F.col(source).eqNullSafe(F.col("s")) & (F.col("__p") == F.col("pass")) & (F.col("mix.bucket") == F.col("bucket"))
-    words = F.when(F.col("shard").isNull(), 0).when(F.col("__p") <= F.col("mix.passes"), F.col("mix.size")).otherwise(F.col("mix.rest")).cast("long")
-    slot = F.xxhash64(F.lit(seed + 2), "pass", F.col("mix.order"))
-    out = rows.join(shard, on, "left").withColumn("mix", F.struct("mix.*", "pass", words.alias("words"), "shard", slot.alias("slot")))
+    shard = shard.select(F.col("s").alias("__s"), F.col("pass").alias("__pass"), F.col("bucket").alias("__bucket"), F.col("shard").alias("__shard"))
+    on = F.col(source).eqNullSafe(F.col("__s")) & (F.col("__p") == F.col("__pass")) & (F.col("mix.bucket") == F.col("__bucket"))
+    words = F.when(F.col("__shard").isNull(), 0).when(F.col("__p") <= F.col("mix.passes"), F.col("mix.size")).otherwise(F.col("mix.rest")).cast("long")
+    slot = F.xxhash64(F.lit(seed + 2), "__pass", F.col("mix.order"))
+    out = rows.join(shard, on, "left").withColumn("mix", F.struct("mix.*", F.col("__pass").alias("pass"), words.alias("words"), F.col("__shard").alias("shard"), slot.alias("slot")))
     out = out.select(*docs.columns, "mix")
     return out if untaken else out.where("mix.words > 0")
 

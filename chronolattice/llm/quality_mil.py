@@ -14,7 +14,8 @@ never trained on.
 
 Defined results: a null or empty text is one passage without anything in it; a null id counts as empty text in the
 hash (not held out); several labels of an id: each labelled row counts; null labels are left out; without labels of both
-classes the score is the share of label 1 (0.5 without any); other columns are passed over; an empty table gives an
+classes the score is the share of label 1 (0.5 without any); other columns are passed over (``score`` and ``keep_good`` drop
+those named like a result); an empty table gives an
 empty result.
 """
 
@@ -187,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row, with score, n_passages and top_passage (the one of most attention, from 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(c for c in keep if c not in ("score", "n_passages", "top_passage"))
     fields = [f for c in keep for f in docs.schema if f.name == c]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "n_passages long", "top_passage long"])
 
@@ -215,4 +217,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text",
 def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 1500) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; they are scored where they are read."""
     model = train(docs, labels, text=text, doc_id=doc_id, label=label, sample=sample)
-    return score(docs, model, text=text, keep=tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
+    return score(docs, model, text=text, keep=tuple(docs.columns)).where("score >= 0.5").drop("score", "n_passages", "top_passage")
