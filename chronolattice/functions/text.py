@@ -171,7 +171,7 @@ def percentage(n: Column, d: Column) -> Column:
 
 def temporal_relation(r: Column) -> Column:
     """Whether a relation's parts name a time (fixed values)."""
-    words = "date dates time year years from to start end began ended founded since until period".split()
+    words = "from to start end date datetime year time".split()
     return F.arrays_overlap(F.split(F.lower(r), r"[._]"), F.array(*map(F.lit, words)))
 
 
@@ -188,8 +188,7 @@ def typed_literal(token: Column) -> Column:
 
 def date_answer(v: Column) -> Column:
     """Undoes how a store completes partial dates."""
-    v = F.regexp_replace(v, r"T?05:12:00$", "")
-    return F.regexp_replace(F.regexp_replace(v, r"^(\d{4})-01-01$", "$1"), r"^(\d{4}-\d{2})-01$", "$1")
+    return F.regexp_replace(F.regexp_replace(v, r"^(\d{4}-\d{2}-\d{2}) 05:12:00$", "$1 "), r"^(\d{4})-01-01$|^(\d{4}-\d{2}-\d{2}) $", "$1$2")
 
 
 def time_constraint(s: Column) -> Column:
@@ -203,10 +202,10 @@ def xml_clean(s: Column) -> Column:
     return F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
 
 
-def hint_for(relation: Column, hints: tuple[str, ...] = ("start", "from", "end", "to", "date", "time", "year")) -> Column:
-    """The first hint, in order, that is a part of a relation's name."""
+def hint_for(relation: Column, hints: tuple[str, ...] = ("from", "to", "start", "end", "date", "year", "time", "datetime")) -> Column:
+    """The first hint, in order, that is a part of a relation's name (fixed values)."""
     parts = F.split(F.lower(relation), r"[._]")
-    return F.get(F.filter(F.array(*map(F.lit, hints)), lambda h: F.array_contains(parts, h)), F.lit(0))
+    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, hints)), lambda h: F.array_contains(parts, h)), F.lit(0)), F.lit("sexpr_context"))
 
 
 def topic_entity(annotated: Column, entities: Column) -> Column:

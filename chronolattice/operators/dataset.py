@@ -148,7 +148,7 @@ def _blank(c: str) -> Column:
 
 
 def validation_issues() -> Column:
-    """What is wrong with a sample's record."""
+    """What is wrong with a sample's record (the messages are fixed values)."""
     s = F.col("s_expression")
     return _issues(
         (_blank("sample_id"), "sample_id is required"), (_blank("question"), "question is required"), (_blank("split"), "split is required"), (_blank("temporal_signal"), "temporal_signal is required"),
@@ -157,14 +157,14 @@ def validation_issues() -> Column:
 
 
 def review_issues() -> Column:
-    """Why a synthetic sample would not do."""
+    """Why a synthetic sample would not do (the messages are fixed values)."""
     s, q, up = F.col("s_expression"), F.col("question"), F.upper("s_expression")
     kind = F.col("temporal_type")
-    date = r"\b\d{4}(-\d{2}(-\d{2})?)?\b"
+    date = r"\b\d{4}(?:-\d{2}-\d{2})?\b"
     return _issues(
         (F.col("source") != "synthetic", "sample source is not synthetic"), (_blank("question"), "question is required"), (_blank("s_expression") | (F.lower(s) == "null"), "s_expression is missing or null"),
         (kind == "unknown", "temporal_type is unknown"), (F.size("answers") <= 0, "answers must not be empty"), (~F.col("topic_entity_mid").startswith("m."), "topic entity mid must look like a Freebase mid"),
-        (s.contains("UNKNOWN"), "s_expression contains UNKNOWN placeholder"), (q.rlike(r"\b[mg]\.[A-Za-z0-9_]+\b"), "question still contains raw mids"), (F.size("relation_ids") <= 0, "relation_ids must not be empty"),
+        (s.contains("UNKNOWN"), "s_expression contains UNKNOWN placeholder"), (q.rlike(r"\bm\.[A-Za-z0-9_]+\b"), "question still contains raw mids"), (F.size("relation_ids") <= 0, "relation_ids must not be empty"),
         (F.coalesce(F.col("metadata.source_seed_id"), F.lit("")) == "", "missing source_seed_id metadata"), (F.coalesce(F.col("metadata.mined_fact_id"), F.lit("")) == "", "missing mined_fact_id metadata"),
         ((kind == "during") & ~up.contains("TC"), "during sample must use TC operator"), ((kind == "during") & ~q.rlike(date) & ~s.rlike(date), "during sample should include a temporal value"),
         ((kind == "last") & ~up.contains("ARGMAX"), "last sample must use ARGMAX"), ((kind == "first") & ~up.contains("ARGMIN"), "first sample must use ARGMIN"),
@@ -213,7 +213,7 @@ def verify(samples: DataFrame, answers: DataFrame) -> DataFrame:
     graph's where they match."""
     j = samples.join(answers, "sample_id", "left").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
     ok = fx.answers_match(F.col("predicted"), F.col("answers"))
-    why = F.when(_blank("s_expression"), "missing s_expression").when(F.size("predicted") == 0, "empty result").when(~ok, "answer mismatch").otherwise("")
+    why = F.when(_blank("s_expression"), "conversion_failed").when(F.size("predicted") == 0, "no_results").when(~ok, "answer_mismatch").otherwise("")
     return j.withColumn("verified", ok).withColumn("verification_error", why).withColumn("answers", F.when(ok, F.col("predicted")).otherwise(F.col("answers"))).withColumn("validation_status", F.when(ok, "executable").otherwise("failed"))
 
 
@@ -235,6 +235,11 @@ def answer_candidates(graph: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.where(keep).groupBy("sample_id").agg(F.sort_array(F.collect_set("x")).alias("predicted"))
 
 
+#: What a model is asked for, by kind of question.
+STANDARD = "Generate a Logical Form query that retrieves the information corresponding to the given question.\n"
+TEMPORAL = "Generate a Logical Form query for this temporal question, using TC operators for date constraints and ARGMAX/ARGMIN for ordinal constraints.\n"
+
+
 def training_examples(human: DataFrame, synthetic: DataFrame, *, most: int | None = None, split: str | None = None) -> DataFrame:
     """Instruction examples: people's samples before synthetic ones, each (input, output) once, at most ``most`` synthetic ones
     of those that are kept."""
@@ -242,7 +247,7 @@ def training_examples(human: DataFrame, synthetic: DataFrame, *, most: int | Non
     both = both.where(~_blank("s_expression") & (F.lower("s_expression") != "null"))
     if split:
         both = both.where(F.col("split") == split)
-    ask = F.lit("Generate a Logical Form query that retrieves the information corresponding to the given question. \n")
+    ask = F.when(F.col("temporal_type") == "unknown", STANDARD).otherwise(TEMPORAL)
     ex = both.select("sample_id", "source", "temporal_type", "rank", ask.alias("instruction"), F.concat(F.lit("Question: { "), F.trim("question"), F.lit(" }")).alias("input"), F.trim("s_expression").alias("output"))
     ex = keep_first(ex, [F.col("input"), F.col("output")], F.col("rank"), F.col("sample_id"))
     if most is not None:

@@ -90,27 +90,36 @@ def top_surface(mentions: DataFrame, index: DataFrame, k: int = 10) -> DataFrame
 
 
 def spans(questions: DataFrame, longest: int | None = None) -> DataFrame:
-    """(qid, start, end, span): all runs of tokens; ``questions`` has qid and tokens (structs of text, lemma, pos)."""
+    """(qid, start, end, part, before, after, span): all runs of tokens, with the tags around them; ``questions`` has qid and tokens (structs of text, lemma, pos)."""
     q = questions.select("qid", "tokens", F.posexplode("tokens").alias("start", "__t"))
     last = F.size("tokens") if longest is None else F.least(F.size("tokens"), F.col("start") + longest)
     q = q.select("qid", "start", "tokens", F.explode(F.sequence(F.col("start") + 1, last)).alias("end"))
     part = F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start"))
-    return q.select("qid", "start", "end", part.alias("part"), F.concat_ws(" ", F.transform(part, lambda t: t["text"])).alias("span"))
+    around = [F.get("tokens", i)["pos"].alias(n) for i, n in ((F.col("start") - 1, "before"), (F.col("end"), "after"))]
+    return q.select("qid", "start", "end", part.alias("part"), *around, F.concat_ws(" ", F.transform(part, lambda t: t["text"])).alias("span"))
 
 
-def can_name(part: Column) -> Column:
-    """Whether a run of tokens may name an entity: a noun, adjective or number in it, no function word at its edges, and a
-    single token no common verb or question word."""
-    pos = F.transform(part, lambda t: t["pos"])
-    solid = F.exists(pos, lambda p: p.rlike("^(NN|JJ|CD|FW)"))
-    edge = lambda p: p.isin("IN", "DT", "CC", "TO", "WDT", "WP", "WRB", "MD")
-    return solid & ~edge(F.element_at(pos, 1)) & ~edge(F.element_at(pos, -1))
+#: Lemmas that name nothing by themselves, and the tags that a name's words may have.
+IGNORED = ("be", "of", "the", "and", "or", "a")
+TAGS = r"^(UH|\.|TO|PRP.?|#|FW|IN|VB.?|RB|CC|HYPH|WP|XX|NNP.?|NN.?|JJ.?|CD|DT|MD|POS)$"
+
+
+def can_name(part: Column, before: Column, after: Column) -> Column:
+    """Whether a run of tokens may name an entity, given the tags around it: some lemma counts, the first one too (but for
+    'the'); one word is a noun, adjective or foreign and no part of a longer run of proper nouns; several have tags that
+    names have."""
+    lemma, pos = F.transform(part, lambda t: t["lemma"]), F.transform(part, lambda t: t["pos"])
+    only, first = F.element_at(pos, 1), F.element_at(lemma, 1)
+    counts = F.exists(lemma, lambda x: ~x.isin(*IGNORED)) & (~first.isin(*IGNORED) | (first == "the"))
+    proper = lambda c: F.coalesce(c, F.lit("")).startswith("NNP")
+    single = only.rlike("^(N|J|FW$|XX$)") & ~(proper(only) & (proper(before) | proper(after)))
+    return counts & F.when(F.size(part) == 1, single).otherwise(F.forall(pos, lambda p: p.rlike(TAGS)))
 
 
 def link(questions: DataFrame, index: DataFrame, *, least: float = 0.3, longest: int = 8) -> DataFrame:
     """(qid, start, end, span, mid, surface_score, perfect, score): entities of all spans. A perfect match of the main name
     weighs sixty times."""
-    s = spans(questions, longest).where(can_name(F.col("part"))).withColumn("surface", normal_name(F.col("span")))
+    s = spans(questions, longest).where(can_name(F.col("part"), F.col("before"), F.col("after"))).withColumn("surface", normal_name(F.col("span")))
     j = s.join(index, "surface").where(F.col("score") >= least)
     perfect = normal_name(fx.without_extras(F.col("name"))) == normal_name(fx.without_extras(F.col("span")))
     return j.select("qid", "start", "end", "span", "mid", F.col("score").alias("surface_score"), perfect.alias("perfect"), (F.col("popularity") * F.when(perfect, 60).otherwise(1)).cast("double").alias("score"))

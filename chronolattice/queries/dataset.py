@@ -154,7 +154,7 @@ ORACLES = {
         x1 AS (SELECT * FROM x0 QUALIFY row_number() OVER (PARTITION BY fam ORDER BY z, sid) <= 60), x2 AS (SELECT * FROM x1 QUALIFY row_number() OVER (PARTITION BY tt ORDER BY z, sid) <= 80)
         SELECT sid sample_id FROM x2 QUALIFY row_number() OVER (PARTITION BY substr(a, 1, 3) ORDER BY z, sid) <= 100""",
     "quality_reasons": f"""{_C}, i AS (SELECT sid, list_filter([
-            CASE WHEN tt = 'unknown' THEN 'temporal_type is unknown' END, CASE WHEN regexp_matches(question, '\\b[mg]\\.[A-Za-z0-9_]+\\b') THEN 'question still contains raw mids' END,
+            CASE WHEN tt = 'unknown' THEN 'temporal_type is unknown' END, CASE WHEN regexp_matches(question, '\\bm\\.[A-Za-z0-9_]+\\b') THEN 'question still contains raw mids' END,
             CASE WHEN tt = 'during' AND NOT contains(upper(sx), 'TC') THEN 'during sample must use TC operator' END,
             CASE WHEN tt = 'during' AND NOT regexp_matches(question, '\\b\\d{{4}}(-\\d{{2}}(-\\d{{2}})?)?\\b') AND NOT regexp_matches(sx, '\\b\\d{{4}}(-\\d{{2}}(-\\d{{2}})?)?\\b') THEN 'during sample should include a temporal value' END,
             CASE WHEN tt = 'last' AND NOT contains(upper(sx), 'ARGMAX') THEN 'last sample must use ARGMAX' END, CASE WHEN tt = 'first' AND NOT contains(upper(sx), 'ARGMIN') THEN 'first sample must use ARGMIN' END], lambda x: x IS NOT NULL) r FROM c)

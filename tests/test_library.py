@@ -46,6 +46,11 @@ def test_relation_words(spark):
     assert t("a.b.from") and t("a.b.start_date") and not t("people.customer.tomato")
 
 
+@pytest.mark.parametrize(("raw", "want"), [("1996-01-01", "1996"), ("1906-04-18 05:12:00", "1906-04-18"), ("1906-04-18", "1906-04-18"), ("x", "x")])
+def test_dates_of_a_store(spark, raw, want):
+    assert one(spark, x=fx.date_answer(F.lit(raw))).x == want
+
+
 def test_families():
     with pytest.raises(ValueError):
         ds.Family("x", "nodots", "a.b.c", "a.b.d")
