@@ -72,7 +72,7 @@ def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, hig
         if only and f.family not in only:
             continue
         facts = cvt_facts(graph, f.to_cvt, f.to_answer, f.start, f.end).where("topic != answer")
-        facts = facts.select(F.lit(f.family).alias("fact_relation_family"), F.col("topic").alias("topic_mid"), F.lit(f.to_cvt).alias("anchor_relation"), F.lit(f"{f.to_cvt}.{f.to_answer}" if False else f.to_answer).alias("answer_relation"), F.col("answer").alias("answer_mid"), F.substring("ts_from", 1, 10).alias("temporal_start"), F.substring("ts_to", 1, 10).alias("temporal_end"), F.lit(f.start).alias("retrieved_from_relation"))
+        facts = facts.select(F.lit(f.family).alias("fact_relation_family"), F.col("topic").alias("topic_mid"), F.lit(f.to_cvt).alias("anchor_relation"), F.lit(f.to_answer).alias("answer_relation"), F.col("answer").alias("answer_mid"), F.substring("ts_from", 1, 10).alias("temporal_start"), F.substring("ts_to", 1, 10).alias("temporal_end"), F.lit(f.start).alias("retrieved_from_relation"))
         parts.append(facts)
     facts = reduce(DataFrame.unionByName, parts)
     for c, name in (("topic_mid", "topic_label"), ("answer_mid", "answer_label")):

@@ -35,14 +35,14 @@ BEAMS = (
 
 
 def _beams(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_orderkey < 3000")
+    o = table(spark, d, "orders")
     b = F.transform(F.array(*map(F.lit, BEAMS)), lambda t: F.replace(t, F.lit("%s"), F.col("o_custkey").cast("string")))
     k = (F.col("o_orderkey") % len(BEAMS)).cast("int")
     p = F.array(F.get(b, k), F.get(b, (k + 3) % len(BEAMS)), F.get(b, (k + 4) % len(BEAMS)))
     return ev.ranked(o.select(F.concat(F.lit("q"), F.col("o_orderkey")).alias("question"), p.alias("predictions")), 2)
 
 
-_BEAMS = "b AS (SELECT o_orderkey, replace(unnest([list_extract(l, o_orderkey % 10 + 1), list_extract(l, (o_orderkey % 10 + 3) % 10 + 1)]), '%s', CAST(o_custkey AS VARCHAR)) sx FROM orders, (SELECT [" + ", ".join(f"'{b}'" for b in BEAMS) + "] l) WHERE o_orderkey < 3000)"
+_BEAMS = "b AS (SELECT o_orderkey, replace(unnest([list_extract(l, o_orderkey % 10 + 1), list_extract(l, (o_orderkey % 10 + 3) % 10 + 1)]), '%s', CAST(o_custkey AS VARCHAR)) sx FROM orders, (SELECT [" + ", ".join(f"'{b}'" for b in BEAMS) + "] l))"
 
 
 def _first(s, d):
@@ -90,9 +90,10 @@ def _surface(s, d):
 
 
 def _nearest(s, d):
+    """Every vector whose id is divisible by 100, against all vectors."""
     v = table(s, d, "embeddings")
-    labels = v.where("vec_id % 100 = 7").select(F.col("vec_id").cast("string").alias("label"), F.col("embedding").alias("vector"))
-    return gr.nearest(v.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), labels, 1, 0.0).select("query", "label")
+    labels = v.select(F.col("vec_id").cast("string").alias("label"), F.col("embedding").alias("vector"))
+    return gr.nearest(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), labels, 3, 0.0).select("query", "label", "rank")
 
 
 def _expand(s, d):
@@ -129,7 +130,7 @@ def _truncate(s, d):
 
 
 def _smooth(s, d):
-    return tr.smoothed(table(s, d, "events").where("user_id < 20"), "user_id", "event_id", "value")
+    return tr.smoothed(table(s, d, "events"), "user_id", "event_id", "value")
 
 
 def _distinct_beams(s, d):
@@ -137,9 +138,9 @@ def _distinct_beams(s, d):
 
 
 def _overlap(s, d):
-    c = table(s, d, "conversations").where("turn = 1").select("conv_id", F.col("text").alias("label"))
-    p = table(s, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("predict"))
-    return ev.text_overlap(c.join(p, "conv_id").select("conv_id", "label", "predict")).drop("label", "predict")
+    c = table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("label"))
+    p = table(s, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("predict"))
+    return ev.text_overlap(c.join(p, ["conv_id", "turn"]).select("conv_id", "turn", "label", "predict")).drop("label", "predict")
 
 
 #: SPARQL of the supported kinds, and the expressions they stand for.
@@ -184,7 +185,7 @@ QUERIES = {
     "ground_exact": lambda s, d: gr.ground_exact(_predicted(s), _relations(s, d)),
     "ground_fuzzy": lambda s, d: gr.ground_fuzzy(_predicted(s), _relations(s, d)),
     "ground_entity": lambda s, d: gr.ground_entities(table(s, d, "nation").select(F.concat(F.lit("m.n"), F.col("n_nationkey")).alias("mid")), table(s, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("m.n"), F.col("n_nationkey"))).otherwise(F.concat(F.lit("/m/n"), F.col("n_nationkey"))).alias("mid"), F.col("n_nationkey").alias("id"))),
-    "answer_index": lambda s, d: gr.answer_index(table(s, d, "orders").select(F.col("o_custkey").alias("head"), F.lit(1).alias("rel"), F.col("o_orderkey").alias("tail")), table(s, d, "customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("head"), F.lit(1).alias("rel")), table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m.o"), F.col("o_orderkey")).alias("mid"))).select("head", "rel", F.concat_ws(",", "answers").alias("answers")),
+    "answer_index": lambda s, d: gr.answer_index(table(s, d, "orders").select(F.col("o_custkey").alias("head"), F.lit(1).alias("rel"), F.col("o_orderkey").alias("tail")), table(s, d, "customer").select(F.col("c_custkey").alias("head"), F.lit(1).alias("rel")), table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("m.o"), F.col("o_orderkey")).alias("mid"))).select("head", "rel", F.concat_ws(",", "answers").alias("answers")),
     "topk_surface": _surface,
     "spans": lambda s, d: gr.spans(_tokens(s, d), 3).select("qid", "start", "end", "span"),
     "link": lambda s, d: _linked(s, d),
@@ -220,10 +221,10 @@ ORACLES = {
     "first_executable": "WITH r AS (SELECT CAST(user_id AS VARCHAR) question, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS INT) AS \"rank\", event_type, event_id FROM events) SELECT question, min(\"rank\") AS \"rank\", arg_min(event_type, \"rank\") answer FROM r WHERE event_id % 3 = 0 GROUP BY question",
     "ground_exact": f"WITH {TRIPLES_SQL}, r AS (SELECT p, dense_rank() OVER (ORDER BY p) rel FROM (SELECT DISTINCT p FROM t)), q(relation) AS (VALUES ('trade.order.lines'), ('/geo/nation/region'), ('trade.order.line'), ('trade.ordr.customer'), ('made.up.relation'), ('xx.yy.balance')) SELECT relation, CAST(rel AS INT) rel FROM q LEFT JOIN r ON '/' || replace(p, '.', '/') = CASE WHEN starts_with(relation, '/') THEN relation ELSE '/' || replace(relation, '.', '/') END",
     "ground_entity": "SELECT 'm.n' || n_nationkey mid, n_nationkey id FROM nation",
-    "answer_index": "SELECT o_custkey head, 1 rel, string_agg('m.o' || o_orderkey, ',' ORDER BY 'm.o' || o_orderkey) answers FROM orders WHERE o_custkey <= 50 GROUP BY o_custkey",
+    "answer_index": "SELECT o_custkey head, 1 rel, string_agg('m.o' || o_orderkey, ',' ORDER BY 'm.o' || o_orderkey) answers FROM orders GROUP BY o_custkey",
     "topk_surface": f"WITH {_IDX}, q AS (SELECT DISTINCT substr(n_name, 1, 4) mention FROM nation) SELECT mention, mid, score, CAST(row_number() OVER (PARTITION BY mention ORDER BY score DESC, mid) AS INT) AS \"rank\" FROM q JOIN ix ON lower(mention) = surface QUALIFY \"rank\" <= 3",
     "link_dates": "SELECT n_nationkey qid, 5 + len(string_split(n_name, ' ')) + len(string_split(substr(n_name, 1, 4), ' ')) AS \"at\", '1998' AS \"year\" FROM nation",
-    "cosine_nearest": "SELECT a.vec_id query, CAST(b.vec_id AS VARCHAR) AS \"label\" FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 7 WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, CAST(b.vec_id AS VARCHAR)) = 1",
+    "cosine_nearest": "WITH x AS (SELECT a.vec_id query, CAST(b.vec_id AS VARCHAR) lab, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0), y AS (SELECT query, lab, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, lab) AS INT) r FROM x WHERE s > 0) SELECT query, lab AS \"label\", r AS \"rank\" FROM y WHERE r <= 3",
     "expand_product": "SELECT n_nationkey qid, n, ['a', 'b'][n // 6 + 1] || '|' || [n_name, 'x', 'y'][n // 2 % 3 + 1] || '|' || ['p', 'q'][n % 2 + 1] choice FROM nation, range(9) r(n)",
     "retype_literals": "SELECT 'm.p' || p_partkey s, 'trade.part.size' p, CAST(p_size AS VARCHAR) o, 'literal' o_kind, 'integer' o_datatype, NULL o_lang FROM part UNION ALL SELECT 'm.p' || p_partkey, 'trade.part.brand', p_brand, 'literal', NULL, 'en' FROM part",
     "mix_concat": "SELECT c_custkey k, 'customer' src FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier",
