@@ -47,9 +47,11 @@ def test_checks_of_themselves(spark):
     assert all(r.same for r in QUERIES["sparql_roundtrip"](spark, SF).collect())
     assert all(r.same == r.want for r in QUERIES["isomorphism"](spark, SF).collect())
     how = {r.relation: r.how for r in QUERIES["ground_fuzzy"](spark, SF).collect()}
-    assert how["trade.order.lines"] == "exact" and how["trade.ordr.customer"] == "fuzzy" and how["xx.yy.balance"] == "none"
+    assert how["trade.order.lines"] == "exact" and how["trade.ordr.customer"] == "fuzzy" and how["xx.yy.balance"] == "suffix"
 
 
 def test_samples_verify(spark):
     rows = QUERIES["verify_samples"](spark, SF).collect()
-    assert sum(r.verified for r in rows) > 0.8 * len(rows)
+    # an earliest or latest answer need not be the fact's own; a plain join always has it among its answers
+    simple = [r for r in rows if "-simple_" in r.sample_id]
+    assert simple and all(r.verified for r in simple) and {r.verification_error for r in rows if not r.verified} == {"answer_mismatch"}
