@@ -11,7 +11,7 @@ import pytest
 from chronolattice.llm.decontaminate import contaminated, drop_contaminated
 from chronolattice.llm.html_extract import extract, extract_pages
 from chronolattice.llm.jaccard_join import jaccard_join, keep_representatives
-from chronolattice.llm.license_scan import scan_licenses
+from chronolattice.llm.license_scan import TEMPLATES, scan_licenses
 from chronolattice.llm.mixture import mix_sources, mixed_documents
 from chronolattice.llm.outliers import quality_rules
 from chronolattice.llm.quality_mil import classify_quality, keep_good
@@ -203,6 +203,19 @@ def test_licenses(docs, nothing):
     assert scan_licenses(nothing).count() == 0
 
 
+def test_licenses_of_one_block(spark):
+    # more notices than any leading few, in one long line
+    names = [k for k, v in TEMPLATES.items() if v[0].startswith(("Released", "Licensed", "This work"))]
+    line = " ".join(TEMPLATES[k][0] for k in names)
+    two = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. The bundled code is Released under the MIT License."
+    rows = scan_licenses(spark.createDataFrame([(1, line), (2, two), (3, two.replace("MIT", "")), (4, f"{prose(6, 900)} {two}")], "doc_id long, text string")).collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r.doc_id].append(r.license)
+        assert r.exact
+    assert sorted(got[1]) == sorted(names) and sorted(got[2]) == sorted(got[4]) == ["CC-BY-NC-4.0", "MIT"] and got[3] == ["CC-BY-NC-4.0"]
+
+
 def test_tokens(spark, docs, nothing, tmp_path):
     from tokenizers import Tokenizer
 
