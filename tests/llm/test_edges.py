@@ -216,6 +216,39 @@ def test_licenses_of_one_block(spark):
     assert sorted(got[1]) == sorted(names) and sorted(got[2]) == sorted(got[4]) == ["CC-BY-NC-4.0", "MIT"] and got[3] == ["CC-BY-NC-4.0"]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Copyright (c) 2020, Someone. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+FREE = "This is free and unencumbered software released into the public\ndomain."
+
+
+def test_wrapped_licenses(spark):
+    commented = "int x;\n" + "\n".join(f" * {x}" for x in ISC.split("\n")) + "\nint y;"
+    texts = [MIT, BSD, ISC, FREE, commented, f"Copyright A.\n{prose(8, 30)}\nReleased under the MIT License.\n{prose(9, 30)}\nReleased under the MIT License."]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = [[(r.license, r.exact) for r in rows if r.doc_id == i and r.license] for i in range(len(texts))]
+    assert got == [[("MIT", True)], [("BSD-3-Clause", True)], [("ISC", True)], [("Unlicense", True)], [("ISC", True)], [("MIT", True), ("MIT", True)]]
+    grant = next(r for r in rows if r.doc_id == 0 and r.license)
+    assert MIT[grant.start : grant.end].startswith("Permission") and MIT[grant.start : grant.end].endswith("the Software is")
+    # lines with cues that no template explains stay blocks of their own
+    assert [r.license for r in sorted(rows, key=lambda r: r.block) if r.doc_id == 5] == [None, "MIT", "MIT"]
+
+
 def test_tokens(spark, docs, nothing, tmp_path):
     from tokenizers import Tokenizer
 
