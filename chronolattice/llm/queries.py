@@ -54,7 +54,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_read(spark, sf_dir, "documents"), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(_read(spark, sf_dir, "documents"), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 from chronolattice.llm.decontaminate import contaminated, drop_contaminated
 from chronolattice.llm.html_extract import extract, extract_pages
-from chronolattice.llm.jaccard_join import jaccard_join, keep_representatives
+from chronolattice.llm.jaccard_join import jaccard_join, jaccard_links, keep_representatives
 from chronolattice.llm.license_scan import TEMPLATES, scan_licenses
 from chronolattice.llm.mixture import mix_sources, mixed_documents
 from chronolattice.llm.outliers import quality_rules
@@ -143,6 +143,30 @@ def test_jaccard(docs, nothing, chunk):
     assert keep_representatives(nothing).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [4096, 40])
+def test_links(spark, docs, nothing, chunk):
+    # near copies in a chain and a crowd: the ends of a component are not all alike
+    words = BASE.split()
+    near = [(100 + i, " ".join([*words[: 2 * (i % 40)], *(f"w{i}x{k}" for k in range(i % 3)), *words[2 * (i % 40) + i % 5 :]])) for i in range(90)]
+    near += [(300, BASE.upper()), (301, "  " + BASE)]
+    rows = [(i, t) for i, t in TEXTS] + near
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {}
+    for _, t in rows:
+        w = GAP.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[t] = frozenset(tuple(w[p : p + 4]) for p in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else [])
+    like = lambda a, b: bool(a & b) and 100 * len(a & b) >= 85 * len(a | b)
+    number = {t: sum(like(s, o) for u, o in sets.items() if u != t) for t, s in sets.items()}
+    got = jaccard_join(table, width=4, num=85, den=100, chunk=chunk).collect()
+    assert collections.Counter((r.doc_id, r.n_links) for r in got) == collections.Counter((i, number[t]) for i, t in rows)
+    distinct = set(sets.values())
+    want = sum(like(a, b) for a in distinct for b in distinct if a != b) // 2
+    pairs = [tuple(r) for r in jaccard_links(table, width=4, num=85, den=100, chunk=chunk).collect()]
+    assert len(pairs) == len(set(pairs)) == want > len(distinct) and all(a < b for a, b in pairs)
+    assert {x for p in pairs for x in p} <= {r.set_id for r in got}
+    assert jaccard_links(nothing).count() == 0
+
+
 def test_rules(docs, nothing):
     rows = quality_rules(docs).collect()
     assert len(rows) == len(TEXTS)
