@@ -167,6 +167,14 @@ def test_links(spark, docs, nothing, chunk):
     assert jaccard_links(nothing).count() == 0
 
 
+def test_representatives_of_repeated_and_null_ids(spark):
+    near = BASE + " tail"
+    rows = [(12, BASE), (12, "another text of the same id"), (20, near), (None, prose(21, 90)), (None, prose(21, 90) + " tail")]
+    kept = keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # each text of a repeated id stays, and of two near copies without ids one
+    assert len(kept) == 3 and {(12, BASE), (12, "another text of the same id")} < {tuple(r) for r in kept}
+
+
 def test_rules(docs, nothing):
     rows = quality_rules(docs).collect()
     assert len(rows) == len(TEXTS)
