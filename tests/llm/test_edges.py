@@ -193,6 +193,14 @@ def test_rules(docs, nothing):
     assert quality_rules(nothing).count() == 0
 
 
+def test_rules_of_a_null_source(spark):
+    # two languages with the same texts and groups: a null source is judged by its own estimate, as a named one is
+    rows = [(i, prose(i, 80) + " #" * (0 if i % 3 else 12), g, "s" if i % 3 else o) for i in range(300) for g, o in (("en", None), ("fr", "o"))]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    by = {g: {r.doc_id: r.distance for r in got if r.lang == g} for g in ("en", "fr")}
+    assert len(by["en"]) == 300 and by["en"] == by["fr"]
+
+
 def test_mix(docs, nothing):
     rows = mix_sources(docs, untaken=True).collect()
     sizes, total = collections.Counter(), collections.Counter()
