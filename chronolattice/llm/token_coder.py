@@ -1,362 +1,410 @@
 """Token ids in a compact binary format: an adaptive context-mixing range coder over independent blocks.
 
-Predictions. Order 2 and order 1 each remember, for the ids before (two, one), the id that followed last and how often it
-was right lately; each confidence has an adaptive hit rate. Order 0 has adaptive frequencies of all ids. The three are
-mixed by weights that follow the likelihood each gave to the ids so far: an id is coded as "what order 2 says" or "what
-order 1 says" with the mixture's probability, or else by its order-0 interval.
-
-Blocks. ``BLOCK`` ids each; models, weights and coder start anew in every block, and a block carries its number of ids and the
-crc32 of its ids, so blocks are read, checked and retried alone. Many blocks are coded in lockstep, one lane each,
-so every step is a few dozen array operations. Only additions, multiplications, divisions and comparisons of IEEE doubles
-decide intervals, so a block reads the same on any machine.
-
-File format: Parquet part files as containers (so Spark's commit protocol makes a lost executor harmless), one row a block:
-shard, block, payload, pieces. payload: b"CMR1", u32 ids, u32 vocabulary, u32 crc32 of the ids as little-endian u32,
-then 16-bit code words. pieces: for each document or part of one in the block, i64 key and u32 ids.
-Ids stand in ascending order of doc_id through shards and blocks.
+Predictions. Order 2 and order 1 each remember, for the ids before (two, one), an id that followed and how often it was
+right. Order 0 is a distribution over all ids of the frame: the frame's own counts, to which every block adds its ids as
+it goes (``RECOUNT``). The mixture gives an id x the probability g2 [x = order 2's] + (1 - g2) g1 [x = order 1's] +
+(1 - g2) (1 - g1) order0(x). The weights g2 and g1 adapt after every id, in a set of their own for each pair of confidences
+and for agreement of the two. The range coder codes along that sum.
+
+Blocks and frames. A block holds ``BLOCK`` ids; models, weights and coder start anew in every block, and a block carries its
+number of ids and the crc32 of its ids, so blocks are read, checked and retried alone. A frame is a run of blocks that share
+one head (the ids that occur and their counts), under a checksum of its own. The blocks of a frame are coded in lockstep,
+one lane each, so every step is a few dozen operations on arrays. Only whole numbers decide intervals, so a frame reads
+the same on any machine.
+
+File format: Parquet part files as containers (so Spark's commit protocol makes a lost executor harmless), one row a frame:
+shard, frame, first (ids of the shard before it), payload, pieces. payload: b"CMR2", u32 vocabulary, blocks, ids in use,
+bytes of the head, crc32 of head and directory; the head (deflated: gaps between the ids in use, then their weights, u32
+each); the directory (u32 ids, 16-bit code words and crc32 of the ids as little-endian u32, for each block); code words.
+pieces: for each document or part of one in the frame, i64 key, u32 ids, u32 ordinal in the shard.
+Ids stand in ascending order of doc_id through shards and frames.
 
 Defined results: a null text is empty (the end id only); a null doc_id is larger than all others; rows that repeat an id
 stand next to each other in the order of a hash of their text; other columns are passed over; an empty table gives an
-empty result.
+empty result. A tokenizer that keeps white space, or lets it change the ids of words, is given whole texts.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolattice.llm.cluster import release, scratch
+from chronolattice.llm.cluster import release, scratch, written
 from chronolattice.llm.contexts import batch_of
 from chronolattice.llm.substring_dedup import LAST, row_keys
 
-BLOCK, LANES, MAGIC = 8192, 1024, b"CMR1"
-U, I = np.uint64, np.int64  # noqa: E741
-BITS0 = 22  # of order-0 frequencies
-B1, B2 = 12, 13  # log2 of the order-1 and order-2 tables
-MASK48, LOW32 = U((1 << 48) - 1), U((1 << 32) - 1)
-#: Steps at which order-0 frequencies are counted anew.
-REBUILD = frozenset((64, 256, 1024, 3072, 6144))
+BLOCK, MAGIC = 8192, b"CMR2"
+#: Blocks of a frame at most, and lanes times ids in use at most: they bound memory, whatever the input.
+LANES, CELLS = 512, 4_000_000
+I = np.int64  # noqa: E741
+U = np.uint64
+PRIOR, GAIN = 1 << 17, 32  # weight of the frame's counts in order 0, and of an id seen in the block
+CONTEXTS = 13  # log2 of the order-2 table
+LOW32 = (1 << 32) - 1
+SLOTS = 12  # log2 of the slots through which a decoder enters order 0
+#: Steps at which a block's own ids join order 0.
+RECOUNT = tuple([256, *range(1024, BLOCK, 1024)])
+
+
+def _gates() -> tuple[np.ndarray, np.ndarray]:
+    """First weights of orders 2 and 1, of 4096, by the set (confidence of order 2, of order 1, agreement)."""
+    q2, q1 = np.arange(128) >> 4, np.arange(128) >> 1 & 7
+    g2, g1 = 4096 * (10 * q2 + 1) // (10 * q2 + 10), 4096 * (10 * q1 + 1) // (10 * q1 + 25)
+    return np.clip(np.where(q2 > 0, g2, 0), 64, 4032).astype(np.int32), np.clip(g1, 64, 4032).astype(np.int32)
 
 
 class Mixer:
-    """The models of many lanes, each started anew. ``ids``: (step, lane), filled by the coder as far as it has come."""
-
-    def __init__(self, lanes: int, vocab: int, ids: np.ndarray):
-        if vocab > 1 << (BITS0 - 2):
-            raise ValueError("the vocabulary is too large for order-0 frequencies")
-        self.n, self.v, self.ids = lanes, vocab, ids
-        self.lane = np.arange(lanes, dtype=I)
-        self.t1, self.k1 = np.zeros(lanes << B1, np.int32), np.zeros(lanes << B1, np.uint8)
-        self.t2, self.k2 = np.zeros(lanes << B2, np.int32), np.zeros(lanes << B2, np.uint8)
-        start = np.array([0.0] + [c / (c + 1.0) * 60000.0 for c in range(1, 16)])
-        self.h1, self.h2 = np.tile(start, lanes), np.tile(start, lanes)
-        self.w = np.full((3, lanes), 1 / 3)
-        self.prev1, self.prev2 = np.zeros(lanes, I), np.zeros(lanes, I)
-        # order 0: ids seen so far (sorted by lane and id), where their intervals begin and their sizes; then new ids alike
-        self.keys, self.begin, self.size = np.zeros(1, I), np.zeros(1, I), np.zeros(1, I)
-        self.seen, self.each = np.zeros(lanes, I), np.full(lanes, (1 << BITS0) // vocab, I)
-        self.at1, self.at2 = self.lane << B1, self.lane << B2
-        self.at16, self.base, self.row = self.lane * 16, self.lane << BITS0, self.lane * vocab
-        self.keys[0], self.begin[0] = -1, -1
-
-    def rebuild(self, steps: int) -> None:
-        """Counts the ids of the first ``steps`` steps. New ids keep a share that follows how many ids were new."""
-        x = np.sort(self.ids[:steps].T + self.row[:, None], axis=1).ravel()
-        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        count = np.diff(np.concatenate((first, [len(x)])))
-        key = x[first]
-        lane = key // self.v
-        kinds = np.bincount(lane, minlength=self.n)
-        free = np.maximum(2 * self.v, (1 << BITS0) // 16 * 15 * kinds // (steps + kinds))
-        scale = ((1 << BITS0) - free) // steps
-        size = count * scale[lane]
-        run = np.cumsum(size) - size
-        self.keys, self.size = key, size
-        self.begin = run - run[np.searchsorted(lane, self.lane)][lane] + (lane << BITS0)
-        self.seen = scale * steps
-        self.each = ((1 << BITS0) - self.seen) // self.v
+    """The models of many lanes, each started anew. ``ids``: (step, lane), filled by the coder as far as it has come;
+    ids are places among the ``weights``."""
+
+    def __init__(self, lanes: int, weights: np.ndarray, ids: np.ndarray):
+        k = len(weights)
+        self.lanes, self.k, self.ids = lanes, k, ids
+        lane = np.arange(lanes, dtype=I)
+        self.base0, self.base1, self.base2, self.base_gate = lane * (k + 1), lane * k, lane << CONTEXTS, lane << 7
+        # an entry: the id, and its confidence (0 to 7) in the lowest three bits
+        self.t1, self.t2 = np.zeros(lanes * k, np.uint32), np.zeros(lanes << CONTEXTS, np.uint32)
+        g2, g1 = _gates()
+        self.w2, self.w1 = np.tile(g2, lanes), np.tile(g1, lanes)
+        self.prev1 = self.prev2 = np.zeros(lanes, I)
+        self.count = np.tile(weights.astype(np.int32), (lanes, 1))
+        self.cum = np.zeros((lanes, k + 1), np.int32)
+        self.done = 0
+        self.recount(0)
+
+    def recount(self, step: int) -> None:
+        """Adds the ids of the steps before ``step`` to order 0."""
+        if step > self.done:
+            new = np.bincount((self.ids[self.done : step] + self.base1).ravel(), minlength=self.lanes * self.k)
+            new *= GAIN
+            self.count += new.reshape(self.lanes, self.k).astype(np.int32)
+            self.done = step
+        np.cumsum(self.count, axis=1, out=self.cum[:, 1:])
+        self.total, self.starts = PRIOR + GAIN * step, self.cum.ravel()
+
+    def slots(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Shift of a target to its slot, lanes' first slots, and for each slot the last id that begins at or before it."""
+        shift = max(0, (self.total - 1).bit_length() - SLOTS)
+        n = (self.total - 1 >> shift) + 2
+        first = np.arange(self.lanes, dtype=I) * n
+        at = ((self.cum[:, 1:] + ((1 << shift) - 1)) >> shift) + first[:, None]
+        return shift, first, np.cumsum(np.bincount(at.ravel(), minlength=self.lanes * n).reshape(self.lanes, n), axis=1).astype(np.int32).ravel()
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of the intervals of order 2's and order 1's id, of 65536."""
-        x = self.prev1 * 0x9E3779B1 & 0xFFFFFFFF
-        y = (x + self.prev2) * 0x85EBCA6B & 0xFFFFFFFF
-        self.i1 = self.at1 + (x >> (32 - B1))
-        self.i2 = self.at2 + (y >> (32 - B2))
-        self.c1, self.q1 = self.t1[self.i1], self.k1[self.i1]
-        self.c2, self.q2 = self.t2[self.i2], self.k2[self.i2]
-        self.j1, self.j2 = self.at16 + self.q1, self.at16 + self.q2
-        self.p1, self.p2 = self.h1[self.j1], self.h2[self.j2]
-        f2, f1 = (self.w[2] * self.p2).astype(I), (self.w[1] * self.p1).astype(I)
-        same = (self.c1 == self.c2) & (self.q2 > 0)
-        f2 += f1 * same
-        f1 *= ~same
-        return np.minimum(f2, 45000), np.minimum(f1, 15000)
-
-    def interval(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order 0's interval of an id in some lanes: start and size, of 2**BITS0."""
-        key = self.row[lanes] + ids
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        each = self.each[lanes]
-        known = self.keys[at] == key
-        start = np.where(known, self.begin[at] - self.base[lanes], self.seen[lanes] + ids * each)
-        return start, np.where(known, self.size[at], each)
-
-    def find(self, lanes: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose intervals hold the targets, with these; lanes ascend."""
-        at = np.maximum(np.searchsorted(self.begin, self.base[lanes] + target, side="right") - 1, 0)
-        each, seen = self.each[lanes], self.seen[lanes]
-        known = target < seen
-        fresh = np.minimum((target - seen) // each, self.v - 1)
-        x = np.where(known, self.keys[at] - self.row[lanes], fresh)
-        return x, np.where(known, self.begin[at] - self.base[lanes], seen + fresh * each), np.where(known, self.size[at], each)
-
-    def update(self, ids: np.ndarray) -> None:
-        hit1, hit2 = self.c1 == ids, self.c2 == ids
-        rare = 1.0 / 512
-        l2 = np.where(hit2, self.p2, (65536 - self.p2) * rare)
-        l1 = np.where(hit1, self.p1, (65536 - self.p1) * rare)
-        w = self.w
-        w[2] *= l2
-        w[1] *= l1
-        w[0] *= 65536.0 / 256
-        w *= 0.98 / (w[0] + w[1] + w[2])
-        w += 0.02 / 3
-        self.h1[self.j1] = self.p1 + (hit1 * 65000.0 - self.p1) * 0.04
-        self.h2[self.j2] = self.p2 + (hit2 * 65000.0 - self.p2) * 0.04
-        for t, k, i, q, hit in ((self.t1, self.k1, self.i1, self.q1, hit1), (self.t2, self.k2, self.i2, self.q2, hit2)):
-            k[i] = np.where(hit, np.minimum(q + 1, 15), np.where(q > 1, q >> 1, 1)).astype(np.uint8)
-            new = np.flatnonzero(~hit & (q <= 1))
-            t[i[new]] = ids[new]
-        self.prev2, self.prev1 = self.prev1, ids
-
-
-def encode_blocks(blocks: list[np.ndarray], vocab: int) -> list[bytes]:
-    """Payloads of up to LANES blocks of at most BLOCK ids."""
-    n, most = len(blocks), max(map(len, blocks))
-    ids = np.zeros((most, n), I)
-    for j, b in enumerate(blocks):
-        ids[: len(b), j] = b
-    m = Mixer(n, vocab, ids)
-    low, rng = np.zeros(n, U), np.full(n, MASK48, U)
-    out, pos = np.zeros((n, most * 4 + 16), np.uint16), np.zeros(n, I)
-
-    def emit(i: np.ndarray) -> None:
-        out[i, pos[i]] = (low[i] >> U(32)).astype(np.uint16)
-        pos[i] += 1
-        low[i] = low[i] << U(16) & MASK48
-        rng[i] <<= U(16)
-
-    for step in range(most):
-        if step in REBUILD:
-            m.rebuild(step)
-        x = ids[step]
+        """Weights of order 2's and order 1's id, of 4096."""
+        self.i1 = self.base1 + self.prev1
+        self.i2 = self.base2 + ((self.prev2 * 0x9E3779B1 + self.prev1 * 0x85EBCA6B & LOW32) >> (32 - CONTEXTS))
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
+        same = self.c1 == self.c2
+        self.gate = self.base_gate + ((self.e2 & 7) << 4 | (self.e1 & 7) << 1 | same)
+        self.g2, self.g1 = self.w2.take(self.gate), self.w1.take(self.gate)
+        return self.g2, np.where(same, 0, self.g1)
+
+    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        self.w2[self.gate] = np.clip(self.g2 + ((hit2.astype(np.int32) << 12) - self.g2 >> 5), 64, 4032)
+        moved = np.clip(self.g1 + ((hit1.astype(np.int32) << 12) - self.g1 >> 5), 64, 4032)
+        self.w1[self.gate] = np.where(hit2, self.g1, moved)  # order 1 was not asked where order 2 was right
+        fresh = x.astype(np.uint32) << 3 | 1
+        for t, i, e, c in ((self.t1, self.i1, self.e1, self.c1), (self.t2, self.i2, self.e2, self.c2)):
+            q = e & 7
+            t[i] = np.where(c == x, e + (q < 7), np.where(q > 1, e - q + (q >> 1), fresh))
+        self.prev2, self.prev1 = self.prev1, x
+
+
+def _weights(count: np.ndarray) -> np.ndarray:
+    """Counts scaled to the sum PRIOR, 1 at least."""
+    w = np.maximum(1, count * (PRIOR - len(count)) // int(count.sum()))
+    w[np.argmax(w)] += PRIOR - int(w.sum())
+    return w
+
+
+def encode_frames(ids: np.ndarray, vocab: int) -> list[tuple[int, bytes]]:
+    """Frames of all ids, each with its number of ids: as many blocks in each as LANES and CELLS allow."""
+    if vocab > PRIOR // 2:
+        raise ValueError("the vocabulary is too large for order 0")
+    if len(ids) and int(ids.max()) >= vocab:
+        raise ValueError("an id lies outside the vocabulary")
+    out, at = [], 0
+    while at < len(ids):
+        part = ids[at : at + LANES * BLOCK]
+        kinds = int(np.count_nonzero(np.bincount(part, minlength=vocab)))
+        part = part[: max(1, CELLS // kinds) * BLOCK]
+        out.append((len(part), _encode(part, vocab)))
+        at += len(part)
+    return out
+
+
+def _encode(ids: np.ndarray, vocab: int) -> bytes:
+    count = np.bincount(ids, minlength=vocab)
+    used = np.flatnonzero(count)
+    weights = _weights(count[used])
+    place = np.zeros(vocab, np.int32)
+    place[used] = np.arange(len(used))
+    n, steps = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
+    # zeros pad the last block; the words that only they need are left out
+    x = np.zeros(n * steps, np.int32)
+    x[: len(ids)] = place[ids]
+    x = np.ascontiguousarray(x.reshape(n, steps).T)
+    m = Mixer(n, weights, x)
+    low, rng = np.zeros(n, I), np.full(n, (1 << 48) - 1, I)
+    # code words as they come, with a carry to the word before in bit 16
+    width = steps * 5 // 8 + 1024
+    words, pos = np.zeros((n, width), np.uint32), np.zeros(n, I)
+    flat, begin = words.ravel(), np.arange(n, dtype=I) * width
+
+    def shift() -> None:
+        nonlocal low, rng, pos
+        need = rng <= LOW32
+        while need.any():
+            flat[begin + pos] = low >> 32
+            low, rng = np.where(need, (low & LOW32) << 16, low), np.where(need, rng << 16, rng)
+            pos = pos + need
+            need = rng <= LOW32
+
+    short, most = len(ids) - steps * (n - 1), None
+    for step in range(steps):
+        if step == short:
+            most = int(pos[-1]) + 3  # as many as a decoder has read by then
+        if step in RECOUNT:
+            m.recount(step)
+        if not step & 255 and int(pos.max()) + 1024 > width:
+            words, width = np.pad(words, ((0, 0), (0, width // 2 + 1024))), width + width // 2 + 1024
+            flat, begin = words.ravel(), np.arange(n, dtype=I) * width
+        v = x[step].astype(I)
         f2, f1 = m.predict()
-        is2 = (x == m.c2) & (f2 > 0)
-        is1 = ~is2 & (x == m.c1) & (f1 > 0)
-        r = rng >> U(16)
-        start = np.where(is2, 0, np.where(is1, f2, f2 + f1))
-        size = np.where(is2, f2, np.where(is1, f1, 65536 - f2 - f1))
-        low += r * start.astype(U)
-        rng = r * size.astype(U)
-        e = np.flatnonzero(~(is2 | is1))
-        if len(e):
-            s, z = m.interval(e, x[e])
-            r = rng[e] >> U(BITS0)
-            low[e] += r * s.astype(U)
-            rng[e] = r * z.astype(U)
-        while True:
-            even = ((low ^ (low + rng)) >> U(32)) == 0
-            short = ~even & (rng <= LOW32)
-            i = np.flatnonzero(even | short)
-            if not len(i):
-                break
-            c = np.flatnonzero(short)
-            if len(c):
-                rng[c] = (U(0) - low[c]) & LOW32
-            emit(i)
-        m.update(x)
+        hit2 = v == m.c2
+        hit1 = (v == m.c1) > hit2
+        b = (rng >> 12) * f2
+        low, rng = np.where(hit2, low, low + b), np.where(hit2, b, rng - b)
+        b = (rng >> 12) * f1
+        rng = np.where(hit1, b, rng)
+        e = np.flatnonzero(~(hit2 | hit1))
+        at = m.base0.take(e) + v.take(e)
+        start = m.starts.take(at)
+        size, b = m.starts.take(at + 1) - start, b.take(e)
+        r = (rng.take(e) - b) // m.total
+        low[e] += b + r * start
+        rng[e] = r * size
+        m.update(v, hit2, hit1)
+        shift()
     for _ in range(3):
-        emit(np.arange(n))
-    return [MAGIC + struct.pack("<III", len(b), vocab, zlib.crc32(b.astype("<u4").tobytes())) + out[j, : pos[j]].astype("<u2").tobytes() for j, b in enumerate(blocks)]
-
-
-def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
-    """The ids of up to LANES payloads of one vocabulary; raises if a checksum differs."""
-    heads = []
-    for p in payloads:
-        if p[:4] != MAGIC:
-            raise ValueError("not a block of token ids")
-        heads.append(struct.unpack_from("<III", p, 4))
-    n, most, vocab = len(payloads), max(h[0] for h in heads), heads[0][1]
-    words = [np.frombuffer(p, "<u2", offset=16) for p in payloads]
-    code = np.zeros((n, max(map(len, words)) + 4), np.uint16)
-    for j, w in enumerate(words):
-        code[j, : len(w)] = w
-    # lanes that are shorter read zeros past their end, and what they yield is cut off
-    width = code.shape[1]
-    ids = np.zeros((most, n), I)
-    m = Mixer(n, vocab, ids)
-    low, rng = np.zeros(n, U), np.full(n, MASK48, U)
-    value = code[:, 0].astype(U) << U(32) | code[:, 1].astype(U) << U(16) | code[:, 2].astype(U)
-    pos = np.full(n, 3, I)
-    for step in range(most):
-        if step in REBUILD:
-            m.rebuild(step)
+        flat[begin + pos] = low >> 32
+        low, pos = (low & LOW32) << 16, pos + 1
+    pos[-1] = most or pos[-1]
+    while True:
+        carry = words >> 16
+        if not carry.any():
+            break
+        words &= 0xFFFF
+        words[:, :-1] += carry[:, 1:]
+    head = zlib.compress(np.concatenate((np.diff(used, prepend=-1), weights)).astype("<u4").tobytes(), 6)
+    sizes = np.minimum(steps, len(ids) - steps * np.arange(n))
+    crcs = [zlib.crc32(np.ascontiguousarray(ids[j * steps : (j + 1) * steps], "<u4")) for j in range(n)]
+    directory = np.stack([sizes, pos, crcs], axis=1).astype("<u4").tobytes()
+    coded = [words[j, : pos[j]].astype("<u2").tobytes() for j in range(n)]
+    return b"".join([MAGIC, struct.pack("<5I", vocab, n, len(used), len(head), zlib.crc32(head + directory)), head, directory, *coded])
+
+
+def decode_frame(payload: bytes, blocks: Sequence[int] | None = None) -> list[np.ndarray]:
+    """The ids of a frame's blocks, or of those wanted alone; raises ValueError if a checksum differs."""
+    if payload[:4] != MAGIC or len(payload) < 24:
+        raise ValueError("not a frame of token ids")
+    _, n, kinds, size, crc = struct.unpack_from("<5I", payload, 4)
+    head, directory = payload[24 : 24 + size], payload[24 + size : 24 + size + 12 * n]
+    if zlib.crc32(head + directory) != crc:
+        raise ValueError("a frame's checksum differs")
+    table = np.frombuffer(zlib.decompress(head), "<u4").astype(I)
+    used, weights = np.cumsum(table[:kinds]) - 1, table[kinds:]
+    entries = np.frombuffer(directory, "<u4").reshape(n, 3).astype(I)
+    wanted = np.arange(n) if blocks is None else np.asarray(blocks, I)
+    if not len(wanted):
+        return []
+    base = 24 + size + 12 * n + 2 * (np.cumsum(entries[:, 1]) - entries[:, 1])
+    lanes, steps = len(wanted), int(entries[wanted, 0].max())
+    # a lane reads zeros past its end, and what it yields there is cut off
+    width = int(entries[wanted, 1].max()) + 1
+    words = np.zeros((lanes, width), np.uint16)
+    for j, w in enumerate(wanted.tolist()):
+        got = np.frombuffer(payload[base[w] : base[w] + 2 * entries[w, 1]], "<u2")
+        words[j, : len(got)] = got
+    ids = np.zeros((steps, lanes), np.int32)
+    m = Mixer(lanes, weights, ids)
+    begin, flat = np.arange(lanes, dtype=I) * width, words.ravel()
+    code = words[:, 0].astype(I) << 32 | words[:, 1].astype(I) << 16 | words[:, 2]
+    rng, pos = np.full(lanes, (1 << 48) - 1, I), np.full(lanes, 3, I)
+    shift, first, enter = m.slots()
+    for step in range(steps):
+        if step in RECOUNT:
+            m.recount(step)
+            shift, first, enter = m.slots()
         f2, f1 = m.predict()
-        r = rng >> U(16)
-        t = np.minimum(((value - low) & MASK48) // r, U(65535)).astype(I)
-        is2 = t < f2
-        is1 = ~is2 & (t < f2 + f1)
-        start = np.where(is2, 0, np.where(is1, f2, f2 + f1))
-        size = np.where(is2, f2, np.where(is1, f1, 65536 - f2 - f1))
-        low += r * start.astype(U)
-        rng = r * size.astype(U)
-        x = np.where(is2, m.c2, m.c1).astype(I)
-        e = np.flatnonzero(~(is2 | is1))
+        b = (rng >> 12) * f2
+        hit2 = code < b
+        code, rng = np.where(hit2, code, code - b), np.where(hit2, b, rng - b)
+        b = (rng >> 12) * f1
+        hit1 = (code < b) > hit2
+        rng = np.where(hit1, b, rng)
+        x = np.where(hit2, m.c2, m.c1).astype(I)
+        e = np.flatnonzero(~(hit2 | hit1))
         if len(e):
-            r = rng[e] >> U(BITS0)
-            x[e], s, z = m.find(e, (((value[e] - low[e]) & MASK48) // r).astype(I))
-            low[e] += r * s.astype(U)
-            rng[e] = r * z.astype(U)
-        while True:
-            even = ((low ^ (low + rng)) >> U(32)) == 0
-            short = ~even & (rng <= LOW32)
-            i = np.flatnonzero(even | short)
-            if not len(i):
-                break
-            c = np.flatnonzero(short)
-            if len(c):
-                rng[c] = (U(0) - low[c]) & LOW32
-            low[i] = low[i] << U(16) & MASK48
-            rng[i] <<= U(16)
-            value[i] = (value[i] << U(16) & MASK48) | code[i, np.minimum(pos[i], width - 1)].astype(U)
-            pos[i] += 1
+            b = b.take(e)
+            left, r = code.take(e) - b, (rng.take(e) - b) // m.total
+            target = np.minimum((left.view(U) // r.view(U)).view(I), m.total - 1)
+            own = m.base0.take(e)
+            at = own + enter.take(first.take(e) + (target >> shift))
+            after = m.starts.take(at + 1) <= target
+            while after.any():
+                at += after
+                after = m.starts.take(at + 1) <= target
+            start = m.starts.take(at)
+            x[e], code[e], rng[e] = at - own, left - r * start, r * (m.starts.take(at + 1) - start)
+        need = rng <= LOW32
+        while need.any():
+            code = np.where(need, code << 16 | flat.take(begin + np.minimum(pos, width - 1)), code)
+            rng, pos = np.where(need, rng << 16, rng), pos + need
+            need = rng <= LOW32
         ids[step] = x
-        m.update(x)
+        m.update(x, hit2, hit1)
     out = []
-    for j, (k, _, crc) in enumerate(heads):
-        b = ids[:k, j].astype("<u4")
-        if zlib.crc32(b.tobytes()) != crc:
+    for j, w in enumerate(wanted.tolist()):
+        own = used[ids[: entries[w, 0], j]].astype("<u4")
+        if zlib.crc32(own) != entries[w, 2]:
             raise ValueError("a block's checksum differs")
-        out.append(b)
+        out.append(own)
     return out
 
 
+#: What tells whether a text's ids are its words' ids in a row.
+PROBES = ("a b", "One  two\n\nthree\tfour", "it 's they 're don 't x", " . , ;  -- ( a ) ", "3 14 2,718 1e5", "été ́ 你好 世界 рус", "end of line \r\n", "<| a |> < b >")
+
+
 class Words:
-    """Ids of texts by way of their words: the tokenizer splits at white space and drops it, so a text's ids are its
-    words' ids in a row. Words seen before come from a table (emptied when it holds ``most``)."""
+    """Ids of texts by way of their words, where the tokenizer splits at white space and drops it, so that a text's ids
+    are its words' ids in a row (tried on PROBES); else of whole texts. Words stay known until two generations of
+    ``most`` new ones have come."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tok, self.known, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
         self.vocab = self.tok.get_vocab_size()
+        self.by_word = all(self._plain([p])[0] == b"".join(self._plain(p.split())) for p in PROBES)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
+        if not self.by_word:
+            return self._plain([t.decode() for t in texts])
         split = [t.split() for t in texts]
         if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.old = {}, self.known
+        known, old, fresh = self.known, self.old, []
+        for w in set().union(*split).difference(known):
+            if w in old:
+                known[w] = old[w]
+            else:
+                fresh.append(w)
+        for a in range(0, len(fresh), 10_000):
+            part = fresh[a : a + 10_000]
+            known.update(zip(part, self._plain([w.decode() for w in part]), strict=True))
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
-PIECE = np.dtype([("d", "<i8"), ("n", "<u4"), ("o", "<u4")])
+#: One table of words a worker process and tokenizer: tasks that a worker runs later find words known.
+_TABLES: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    if path not in _TABLES:
+        _TABLES.clear()
+        _TABLES[path] = Words(path)
+    return _TABLES[path]
+
+
+PIECE = np.dtype([("d", "<i8"), ("n", "<u4"), ("all", "<u4"), ("o", "<u4")])
+FRAME = "shard int, frame int, first long, payload binary, pieces binary"
 
 
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> None:
     """Encodes all texts and writes the format to ``path``, in ascending order of doc_id."""
     spark = docs.sparkSession
-    base = row_keys(docs, text, doc_id)
+    # rows that share an id, or have none, are dealt by text and place too, so that they need not be in one shard
+    base = row_keys(docs, text, doc_id).withColumn("h", F.xxhash64("t")).withColumn("i", F.monotonically_increasing_id())
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = base.repartitionByRange(n, "d").sortWithinPartitions("d", F.xxhash64("t"))
+    ordered = base.repartitionByRange(n, "d", "h", "i").sortWithinPartitions("d", "h", "i").select("d", F.col("t").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = Words(tokenizer)
+        words = words_of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        shard, done, ordinal = TaskContext.get().partitionId(), 0, 0
-        rest, pieces, ready = [], [], []
-        size = 0
-
-        def rows(ready: list, first: int) -> pa.RecordBatch:
-            coded = encode_blocks([b for b, _ in ready], words.vocab)
-            k = len(ready)
-            return batch_of("shard int, block int, payload binary, pieces binary", k, shard=np.full(k, shard), block=np.arange(first, first + k), payload=pa.array(coded, pa.binary()), pieces=pa.array([p for _, p in ready], pa.binary()))
-
-        def cut() -> None:
-            """One block of all that is held."""
-            nonlocal rest, pieces, size
-            ready.append((np.concatenate(rest).astype(I), np.array(pieces, PIECE).tobytes()))
-            rest, pieces, size = [], [], 0
+        shard, frames, first, ordinal, held = TaskContext.get().partitionId(), 0, 0, 0, 0
+        parts, pieces = [], []
+
+        def flush() -> pa.RecordBatch:
+            """The frames of all that is held. Only a document that is long or stands where CELLS ends a frame has
+            pieces in several."""
+            nonlocal frames, first, parts, pieces, held
+            ids, table = np.frombuffer(b"".join(parts), "<u4").astype(np.int32), np.concatenate(pieces)
+            parts, pieces, held = [], [], 0
+            coded = encode_frames(ids, words.vocab)
+            ends, stops = np.cumsum(table["all"].astype(I)), np.cumsum([c for c, _ in coded])
+            begins, own = ends - table["all"], []
+            for (size, _), b in zip(coded, stops.tolist(), strict=True):
+                a = b - size
+                lo, hi = np.searchsorted(ends, a, side="right"), np.searchsorted(begins, b, side="left")
+                piece = table[lo:hi].copy()
+                piece["n"] = np.minimum(ends[lo:hi], b) - np.maximum(begins[lo:hi], a)
+                own.append(piece.tobytes())
+            k = len(coded)
+            out = batch_of(FRAME, k, shard=np.full(k, shard), frame=np.arange(frames, frames + k), first=first + stops - [c for c, _ in coded], payload=pa.array([c for _, c in coded], pa.binary()), pieces=pa.array(own, pa.binary()))
+            frames, first = frames + k, first + len(ids)
+            return out
 
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                for d, got in zip(part.column(0).to_pylist(), words.ids([x.encode() for x in part.column(1).to_pylist()]), strict=True):
-                    x = np.frombuffer(got + end, "<u4")
-                    while len(x):
-                        take = x[: BLOCK - size]
-                        rest.append(take)
-                        pieces.append((d, len(take), ordinal & 0xFFFFFFFF))
-                        size += len(take)
-                        x = x[len(take) :]
-                        if size == BLOCK:
-                            cut()
-                            if len(ready) == LANES:
-                                yield rows(ready, done)
-                                done, ready = done + len(ready), []
-                    ordinal += 1
-        if rest:
-            cut()
-        if ready:
-            yield rows(ready, done)
-
-    ordered.mapInArrow(run, "shard int, block int, payload binary, pieces binary").write.option("compression", "none").parquet(path)
+                got = words.ids(part.column(1).to_pylist())
+                table = np.zeros(len(got), PIECE)
+                table["d"], table["all"] = part.column(0).to_numpy(), [len(g) // 4 + 1 for g in got]
+                table["o"] = np.arange(ordinal, ordinal + len(got)) & LOW32
+                parts += [x for g in got for x in (g, end)]
+                pieces.append(table)
+                ordinal, held = ordinal + len(got), held + int(table["all"].sum())
+                if held >= LANES * BLOCK:
+                    yield flush()
+        if held:
+            yield flush()
+
+    ordered.mapInArrow(run, FRAME).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
-    """(shard, ordinal, doc_id, block, n_tokens, ids_crc32[, ids]) of every document piece in the files, from decoded blocks."""
-    schema = "shard int, block int, ordinal long, d long, n long, crc long, ids binary"
+    """(shard, frame, ordinal, d, at, n, all, crc[, ids]) of every document piece in the files, from decoded frames: at is
+    its place in the shard, n its number of ids, all the document's, crc theirs."""
+    schema = "shard int, frame int, ordinal long, d long, at long, n long, all long, crc long" + ", ids binary" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            rows = []
-            for (shard, block, _, pieces), b in zip(held, decode_blocks([h[2] for h in held]), strict=True):
-                at = 0
-                raw = memoryview(b.tobytes())
-                for d, n, o in np.frombuffer(pieces, PIECE).tolist():
-                    own = raw[4 * at : 4 * (at + n)]
-                    rows.append((shard, block, o, d, n, zlib.crc32(own), bytes(own) if ids else None))
-                    at += n
-            cols = list(zip(*rows, strict=True))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "block", "ordinal", "d", "n", "crc", "ids"])
-
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                held.append(row)
-                if len(held) == LANES:
-                    yield out()
-                    held = []
-        if held:
-            yield out()
+            for shard, frame, first, payload, pieces in zip(*batch.columns, strict=True):
+                raw = memoryview(np.concatenate(decode_frame(payload.as_py())).tobytes())
+                table = np.frombuffer(pieces.as_py(), PIECE)
+                k, n = len(table), table["n"].astype(I)
+                at = np.cumsum(n) - n
+                own = [raw[4 * a : 4 * (a + c)] for a, c in zip(at.tolist(), n.tolist(), strict=True)]
+                more = {"ids": pa.array([bytes(x) for x in own], pa.binary())} if ids else {}
+                yield batch_of(schema, k, shard=np.full(k, shard.as_py()), frame=np.full(k, frame.as_py()), ordinal=table["o"], d=table["d"], at=first.as_py() + at, n=n, all=table["all"], crc=np.array([zlib.crc32(x) for x in own], I), **more)
 
-    return spark.read.schema("shard int, block int, payload binary, pieces binary").parquet(path).mapInArrow(run, schema)
+    return spark.read.schema(FRAME).parquet(path).mapInArrow(run, schema)
 
 
 def _crc_join(crcs: list[tuple[int, int]]) -> int:
@@ -389,20 +437,19 @@ def _crc_join(crcs: list[tuple[int, int]]) -> int:
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, shard) of every document, in the files' order: start is the number of ids before."""
-    pieces = read_tokens(spark, path).drop("ids")
+    """(doc_id, start, n_tokens, ids_crc32, shard) of every document, in the files' order: start is the number of ids before.
+    The files are decoded once, into a table of a few numbers a piece."""
+    pieces = written(read_tokens(spark, path), "pieces")
     join: Callable = F.udf(lambda ps: _crc_join([(p["crc"], 4 * p["n"]) for p in ps]), "long")
-    per = pieces.groupBy("shard", "ordinal", "d").agg(F.sum("n").alias("n"), F.min("crc").alias("crc"), F.sort_array(F.collect_list(F.struct("block", "crc", "n"))).alias("ps"))
-    # only documents that go over a block's end need their pieces' sums joined
-    per = per.select("shard", "ordinal", "d", "n", F.when(F.size("ps") == 1, F.col("crc")).alias("one"), F.when(F.size("ps") > 1, F.col("ps")).alias("ps"))
-    single = per.where("ps is null").select("shard", "ordinal", "d", "n", F.col("one").alias("crc"))
-    several = per.where("ps is not null").select("shard", "ordinal", "d", "n", join("ps").alias("crc"))
-    rows = single.unionByName(several)
-    totals = pieces.groupBy("shard").agg(F.sum("n").alias("z"))
-    before = totals.withColumn("before", F.coalesce(F.sum("z").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("z")
-    inside = Window.partitionBy("shard").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, "shard")
-    return out.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), (F.col("before") + F.col("in")).cast("long").alias("start"), F.col("n").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "shard")
+    whole = pieces.where("n = all").select("shard", "d", "at", "n", "crc")
+    # only documents that go over a frame's end need their pieces' sums joined
+    several = pieces.where("n <> all").groupBy("shard", "ordinal", "d").agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "crc", "n"))).alias("ps"))
+    rows = whole.unionByName(several.select("shard", "d", "at", "n", join("ps").alias("crc")))
+    totals = pieces.groupBy("shard").agg(F.max(F.col("at") + F.col("n")).alias("z"))
+    before = totals.select("shard", F.coalesce(F.sum("z").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # one row a shard: their number is that of partitions written, whatever the rows
+    out = rows.join(F.broadcast(before), "shard")
+    return out.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), (F.col("before") + F.col("at")).cast("long").alias("start"), F.col("n").cast("long").alias("n_tokens"), F.col("crc").alias("ids_crc32"), "shard")
 
 
 def encode_documents(docs: DataFrame, *, tokenizer: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", path: str | None = None, shards: int | None = None) -> DataFrame:

@@ -18,7 +18,8 @@ from chronolattice.llm.quality_mil import classify_quality, keep_good
 from chronolattice.llm.queries import tokenizer_path
 from chronolattice.llm.substring_dedup import dedup_substrings
 from chronolattice.llm.suffix_dedup import dedup_bytes
-from chronolattice.llm.token_coder import decode_blocks, encode_blocks, encode_documents, read_tokens
+from chronolattice.llm import token_coder
+from chronolattice.llm.token_coder import BLOCK, Words, decode_frame, encode_documents, encode_frames, read_tokens
 
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, n string, x0 string, d string, t string, k long, `group` string, mix string, kept string, h long"
@@ -289,9 +290,11 @@ def test_wrapped_licenses(spark):
     assert [r.license for r in sorted(rows, key=lambda r: r.block) if r.doc_id == 5] == [None, "MIT", "MIT"]
 
 
-def test_tokens(spark, docs, nothing, tmp_path):
+@pytest.mark.parametrize("cells", [4_000_000, 1])
+def test_tokens(spark, docs, nothing, tmp_path, monkeypatch, cells):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_coder, "CELLS", cells)  # of 1: frames of one block, which long documents go over
     tok = Tokenizer.from_file(tokenizer_path())
     path = str(tmp_path / "tokens")
     rows = sorted(encode_documents(docs, tokenizer=tokenizer_path(), path=path, shards=2).collect(), key=lambda r: r.start)
@@ -308,19 +311,53 @@ def test_tokens(spark, docs, nothing, tmp_path):
     assert encode_documents(nothing, tokenizer=tokenizer_path()).count() == 0
 
 
-def test_blocks_round_trip():
+def test_tokens_of_one_id(spark, tmp_path):
+    rows = [(None, prose(i, 40)) for i in range(400)]
+    got = encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer=tokenizer_path(), path=str(tmp_path / "t"), shards=4)
+    by = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert sum(by) == 400 and len(by) == 4 and max(by) < 200  # rows without an id are not all in one shard
+
+
+def test_frames_round_trip():
     rng = np.random.default_rng(5)
-    blocks = [rng.integers(0, 49408, 3000), np.zeros(5000, np.int64), np.array([49407]), np.tile(rng.integers(0, 900, 37), 40), (rng.zipf(1.3, 4000) % 49408).astype(np.int64)]
-    coded = encode_blocks(blocks, 49408)
-    for b, d in zip(blocks, decode_blocks(coded), strict=True):
-        assert (b == d).all()
-    for b, p in zip(blocks, coded, strict=True):  # a block reads alone, too
-        assert (decode_blocks([p])[0] == b).all()
-    assert len(coded[1]) < 400 and len(coded[3]) < 1000
-    bad = bytearray(coded[0])
-    bad[40] ^= 1
+    cases = [rng.integers(0, 49408, 3000), np.zeros(5000, np.int64), np.array([49407]), np.tile(rng.integers(0, 900, 37), 400), rng.zipf(1.3, 3 * BLOCK + 5) % 49408, rng.integers(0, 49408, 5 * BLOCK)]
+    for ids in cases:
+        frames = encode_frames(ids, 49408)
+        assert (np.concatenate([b for _, f in frames for b in decode_frame(f)]) == ids).all() and sum(n for n, _ in frames) == len(ids)
+    frame = encode_frames(cases[4], 49408)[0][1]
+    whole = decode_frame(frame)
+    assert [len(b) for b in whole] == [BLOCK, BLOCK, BLOCK, 5]
+    for j in range(4):  # a block reads alone, too
+        assert (decode_frame(frame, [j])[0] == whole[j]).all()
+    assert encode_frames(np.zeros(0, np.int64), 49408) == []
+    assert len(encode_frames(cases[1], 49408)[0][1]) < 250 and len(encode_frames(cases[3], 49408)[0][1]) < 2500
+    for at in (2, 40, len(frame) // 2):
+        bad = bytearray(frame)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            decode_frame(bytes(bad))
     with pytest.raises(ValueError):
-        decode_blocks([bytes(bad)])
+        encode_frames(np.array([49408]), 49408)
+
+
+def test_coder_beats_a_general_compressor(spark):
+    import zstandard
+
+    texts = [(r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ids = np.frombuffer(b"".join(x + b"\x02\0\0\0" for x in Words(tokenizer_path()).ids(texts)), "<u4")
+    own = 8 * sum(len(f) for _, f in encode_frames(ids.astype(np.int32), 49408)) / len(ids)
+    zstd = zstandard.ZstdCompressor(level=3)
+    general = 8 * sum(len(zstd.compress(ids[a : a + BLOCK].astype("<u2").tobytes())) for a in range(0, len(ids), BLOCK)) / len(ids)
+    assert own < 9 and own < 0.9 * general
+
+
+def test_words_of_other_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")  # keeps white space
+    words, tok, texts = Words(path), Tokenizer.from_file(path), ["a  b\n c", "", "the end. "]
+    assert not words.by_word and Words(tokenizer_path()).by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.ids([t.encode() for t in texts])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 PAGE = """<!doctype html><html><head><title>No</title><style>p{}</style></head><body><header class="site"><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
