@@ -26,6 +26,7 @@ empty result. A tokenizer that keeps white space, or lets it change the ids of w
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -41,13 +42,13 @@ from chronolattice.llm.substring_dedup import LAST, row_keys
 
 BLOCK, MAGIC = 8192, b"CMR2"
 #: Blocks of a frame at most, and lanes times ids in use at most: they bound memory, whatever the input.
-LANES, CELLS = 512, 4_000_000
+LANES, CELLS = 768, 4_000_000
 I = np.int64  # noqa: E741
 U = np.uint64
 PRIOR, GAIN = 1 << 17, 32  # weight of the frame's counts in order 0, and of an id seen in the block
 CONTEXTS = 13  # log2 of the order-2 table
 LOW32 = (1 << 32) - 1
-SLOTS = 12  # log2 of the slots through which a decoder enters order 0
+SLOTS = 14  # log2 of the slots through which a decoder enters order 0
 #: Steps at which a block's own ids join order 0.
 RECOUNT = tuple([256, *range(1024, BLOCK, 1024)])
 
@@ -291,6 +292,8 @@ class Words:
     ``most`` new ones have come."""
 
     def __init__(self, path: str, most: int = 150_000):
+        # a task has one core; threads of the library's own cost more than they gain on words
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.known, self.old, self.most = Tokenizer.from_file(path), {}, {}, most
