@@ -8,11 +8,14 @@ left half's share of every source is one multivariate-hypergeometric draw, so qu
 deal the blocks is equally likely. A source's blocks are permuted and each shard takes its own disjoint run of
 that permutation; inside a shard rows are ordered by another keyed hash.
 
-No step gathers a source in one task: running sums go over buckets first and then inside a bucket, and the
-number of buckets follows the source's size. The tree is walked on the executors, one path a shard.
+Texts are read once, for sizes and keys; all the rest works on a table of a few numbers a row. No step gathers a source
+in one task: running sums and places go over ranges of buckets first and then inside a range. The tree is walked on
+the executors, one path a shard. A bucket has ``bucket_docs`` documents on average, or as many more as keep all blocks
+under BLOCKS, up to which a draw is exact; so every size is drawn alike.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a source without words
-gets target 0; rows that repeat a doc_id each count; an empty table gives an empty result; other columns
+gets target 0; null and repeated doc_ids are rows like others, and every row counts and stays, rows that are equal in all
+columns included; ties of the keyed hash go by a hash of the whole row; an empty table gives an empty result; other columns
 stay as they are, but for one named mix, which the result replaces.
 """
 
@@ -26,7 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolattice.llm.cluster import written
+
 WORD = r"[^\x20\x09-\x0D]+"
+#: Blocks of all sources at most (numpy draws from fewer than 10**9), and buckets or blocks of a range.
+BLOCKS, RANGE = 900_000_000, 4096
 
 
 def size_of(text: Column) -> Column:
@@ -48,35 +55,39 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float) -> list
     return out
 
 
-def source_plan(docs: DataFrame, source: str, cycle: Sequence[float], most: float) -> DataFrame:
-    """(source_key, source_size, target): one row a source. Sources are few against documents; they are ranked
-    and given targets in one task."""
-    sums = docs.groupBy(F.col(source).alias("s")).agg(F.sum("__size").alias("z"))
+def _hash(seed: int, docs: DataFrame, names: Sequence[str]) -> Column:
+    """A hash of columns that tells nulls apart; maps go as text."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    quoted = [F.col(f"`{n}`") for n in names]
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in quoted])
+    return F.xxhash64(F.lit(seed), nulls, *[F.to_json(F.struct(c)) if "map<" in kinds[n] else c for n, c in zip(names, quoted, strict=True)])
+
+
+def source_plan(slim: DataFrame, cycle: Sequence[float], most: float, bucket_docs: int) -> DataFrame:
+    """(s, source_size, target, buckets): one row a source. Sources are few against documents; they are ranked and
+    given targets in one task."""
+    sums = slim.groupBy("s").agg(F.sum("size").alias("z"), F.count("*").alias("n"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
         if got:
             p = pd.concat(got)
-            rows = sorted(((None if pd.isna(s) else s), int(z)) for s, z in zip(p.s, p.z)) if not p.s.isna().any() else sorted(((s, int(z)) for s, z in zip(p.s, p.z) if not pd.isna(s))) + [(None, int(z)) for s, z in zip(p.s, p.z) if pd.isna(s)]
-            out = targets([z for _, z in rows], [cycle[i % len(cycle)] for i in range(len(rows))], most)
-            yield pd.DataFrame({"s": [s for s, _ in rows], "source_size": [z for _, z in rows], "target": out})
+            rows = sorted(((s is None or pd.isna(s)), "" if s is None or pd.isna(s) else s, int(z), int(n)) for s, z, n in zip(p.s, p.z, p.n))
+            out = targets([r[2] for r in rows], [cycle[i % len(cycle)] for i in range(len(rows))], most)
+            # a document is in most + 1 blocks at most
+            each = max(bucket_docs, -(-sum(r[3] for r in rows) * (int(most) + 1) // (BLOCKS - (int(most) + 1) * len(rows))))
+            yield pd.DataFrame({"s": [None if r[0] else r[1] for r in rows], "source_size": [r[2] for r in rows], "target": out, "buckets": [-(-r[3] // each) for r in rows]})
 
-    return sums.coalesce(1).mapInPandas(run, "s string, source_size long, target double")
+    return sums.coalesce(1).mapInPandas(run, "s string, source_size long, target double, buckets long")
 
 
 def _draw(seed: int, node: tuple[int, int], quota: np.ndarray, n: int) -> np.ndarray:
     """One multivariate-hypergeometric draw of n blocks, the same wherever and whenever the node is visited."""
+    if int(quota.sum()) > BLOCKS:
+        raise ValueError("more blocks than a draw is exact for; larger buckets make fewer")
     key = hashlib.blake2b(f"{seed}:{node[0]}:{node[1]}".encode(), digest_size=8).digest()
     rng = np.random.Generator(np.random.PCG64(int.from_bytes(key, "little")))
-    # marginals, so that any number of blocks will do: a hypergeometric draw for each source in turn
-    out, left, total = np.zeros_like(quota), n, int(quota.sum())
-    for i, q in enumerate(quota.tolist()):
-        if left == 0:
-            break
-        total -= q
-        out[i] = q if total == 0 and left >= q else rng.hypergeometric(q, total, left) if q and total + q < 1_000_000_000 else min(q, max(left - total, round(left * q / (total + q)))) if q else 0
-        left -= int(out[i])
-    return out
+    return rng.multivariate_hypergeometric(quota, n, method="marginals")
 
 
 def shard_quota(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,39 +103,53 @@ def shard_quota(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple[
     return start, quota
 
 
+def _before(sums: DataFrame, part: str, value: str, out: str) -> DataFrame:
+    """Running sums of ``value`` before each (s, part), in two levels: over ranges of parts, and inside a range."""
+    ranged = sums.withColumn("__range", F.expr(f"{part} div {RANGE}"))
+    back = lambda *by: Window.partitionBy(*by)
+    top = ranged.groupBy("s", "__range").agg(F.sum(value).alias("__sum"))
+    top = top.select(F.col("s").alias("__s"), F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(back("s").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__top"))
+    inner = ranged.withColumn("__inner", F.coalesce(F.sum(value).over(back("s", "__range").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = inner.join(top, inner.s.eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    return joined.select("s", part, (F.col("__top") + F.col("__inner")).cast("long").alias(out))
+
+
 def plan_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = (1, 2, 3), most: float = 3.0, bucket_docs: int = 256, seed: int = 7) -> DataFrame:
-    """All columns of ``docs`` and, as a struct ``mix``: size, source_size, target, order (keyed hash), bucket, rank
-    (place in the bucket), passes (whole passes taken), rest (words of the part pass) and taken. Exact but for the fraction of a word in a target."""
-    docs = docs.drop("mix")
-    d = docs.withColumn("__size", size_of(F.col(text))).withColumn("__o", F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text)))
-    plan = source_plan(d, source, list(weights), most).select(F.col("s").alias("__s"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
-    count = d.groupBy(F.col(source).alias("__c")).agg(F.count("*").alias("__docs"))
-    plan = plan.join(count, plan["__s"].eqNullSafe(count["__c"])).select("__s", "__total", "__target", F.greatest(F.lit(1), F.ceil(F.col("__docs") / bucket_docs)).cast("long").alias("__buckets"))
-    d = d.join(plan, F.col(source).eqNullSafe(F.col("__s"))).drop("__s")
+    """One row a document, without its text: id, s (source), key (hash of the whole row), size, source_size, target, order
+    (keyed hash), bucket, rank (place in the bucket), passes (whole passes taken), rest (words of the part pass), taken.
+    Exact but for the fraction of a word in a target."""
+    read = docs.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("s"), size_of(F.col(text)).alias("size"), _hash(seed, docs, [doc_id, text]).alias("o"), _hash(seed, docs, docs.columns).alias("key"))
+    # equal rows are counted first and told apart by number, so that many of them neither meet in a task nor in a bucket
+    equal = read.groupBy("id", "s", "size", "o", "key").count()
+    slim = equal.select("id", "s", "size", "key", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("copy"), "o").withColumn("order", F.xxhash64("o", "copy"))
+    slim = written(slim.drop("o"), "sizes")
+    plan = source_plan(slim, list(weights), most, bucket_docs).withColumnRenamed("s", "__s")
+    d = slim.join(plan, slim.s.eqNullSafe(F.col("__s"))).drop("__s")
     # the hash's upper 31 bits, dealt evenly into buckets in the hash's order
-    d = d.withColumn("__b", F.shiftright(F.shiftrightunsigned("__o", 33) * F.col("__buckets"), 31))
-    d = d.withColumn("__f", F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(0).cast("long"))
-    d = d.withColumn("__r", F.floor(F.col("__target") - F.col("__f") * F.col("__total")).cast("long"))
-    order = Window.partitionBy(source, "__b").orderBy(F.shiftrightunsigned("__o", 33), "__o", doc_id)
-    inside = order.rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy(F.col(source).alias("__s"), F.col("__b").alias("__bb")).agg(F.sum("__size").alias("__z"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__z").over(Window.partitionBy("__s").orderBy("__bb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0))).withColumn("__n", F.row_number().over(order))
-    d = d.join(before.drop("__z"), F.col(source).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__bb")))
-    part = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__r") - F.col("__before") - F.col("__in"))).cast("long")
-    mix = F.struct(F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__o").alias("order"), F.col("__b").alias("bucket"), F.col("__n").alias("rank"), F.col("__f").alias("passes"), part.alias("rest"), (F.col("__f") * F.col("__size") + part).alias("taken"))
-    return d.withColumn("mix", mix).select(*docs.columns, "mix")
-
-
-def block_shards(planned: DataFrame, *, source: str = "source", shards: int = 16, seed: int = 7) -> DataFrame:
+    d = d.withColumn("bucket", F.shiftright(F.shiftrightunsigned("order", 33) * F.col("buckets"), 31))
+    d = d.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    d = d.withColumn("__left", F.floor(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
+    before = _before(d.groupBy("s", "bucket").agg(F.sum("size").alias("z")), "bucket", "z", "__before").select(F.col("s").alias("__s"), F.col("bucket").alias("__b"), "__before")
+    order = Window.partitionBy("s", "bucket").orderBy(F.shiftrightunsigned("order", 33), "order", "id", "key", "copy")
+    d = d.withColumn("__in", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rank", F.row_number().over(order))
+    d = d.join(before, d.s.eqNullSafe(F.col("__s")) & (d.bucket == F.col("__b")))
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - F.col("__before") - F.col("__in"))).cast("long")
+    return d.withColumn("rest", rest).select("id", "s", "key", "size", "source_size", "target", "order", "bucket", "rank", "passes", "rest", (F.col("passes") * F.col("size") + F.col("rest")).alias("taken"))
+
+
+def block_shards(planned: DataFrame, *, shards: int = 16, seed: int = 7) -> DataFrame:
     """(s, pass, bucket, shard, place): every block's shard and its place among the source's permuted blocks."""
-    used = planned.select(F.col(source).alias("s"), "mix")
-    whole = used.where("mix.passes > 0").select("s", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.passes"))).alias("pass"), F.col("mix.bucket").alias("bucket"))
-    part = used.where("mix.rest > 0").select("s", (F.col("mix.passes") + 1).alias("pass"), F.col("mix.bucket").alias("bucket"))
-    blocks = whole.unionByName(part).distinct()
-    order = Window.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "pass", "bucket"), "pass", "bucket")
-    placed = blocks.withColumn("place", F.row_number().over(order) - 1)
-    quota = placed.groupBy("s").agg(F.count("*").alias("n"))
+    per = planned.groupBy("s", "bucket").agg(F.max("passes").alias("passes"), F.max(F.col("rest") > 0).alias("more"))
+    last = F.col("passes") + F.when(F.col("more"), 1).otherwise(0)
+    blocks = per.where(last > 0).select("s", F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("pass"), "bucket")
+    quota = blocks.groupBy("s").agg(F.count("*").alias("n"))
+    # the permutation is the order of a keyed hash; its upper 31 bits are dealt into ranges of some RANGE blocks
+    h = blocks.withColumn("h", F.xxhash64(F.lit(seed + 1), "pass", "bucket")).join(quota.withColumnRenamed("s", "__s"), blocks.s.eqNullSafe(F.col("__s"))).drop("__s")
+    h = h.withColumn("slice", F.shiftright(F.shiftrightunsigned("h", 33) * (F.expr(f"n div {RANGE}") + 1), 31))
+    before = _before(h.groupBy("s", "slice").agg(F.count("*").alias("z")), "slice", "z", "__before").select(F.col("s").alias("__s"), F.col("slice").alias("__slice"), "__before")
+    order = Window.partitionBy("s", "slice").orderBy(F.shiftrightunsigned("h", 33), "h", "pass", "bucket")
+    placed = h.withColumn("__n", F.row_number().over(order) - 1).join(before, h.s.eqNullSafe(F.col("__s")) & (h["slice"] == F.col("__slice")))
+    placed = placed.select("s", "pass", "bucket", (F.col("__before") + F.col("__n")).alias("place"), F.expr(f"(__before + __n) div greatest(1, n div {shards})").alias("__part"))
     everything = quota.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("s").isNull().alias("null"), "s", "n"))).alias("q"))
     paths = everything.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("id"), "q").repartition(min(shards, 64), "id")
 
@@ -134,43 +159,50 @@ def block_shards(planned: DataFrame, *, source: str = "source", shards: int = 16
                 start, n = shard_quota(np.array([x["n"] for x in q], np.int64), shards, int(shard), seed)
                 got = np.flatnonzero(n)
                 if len(got):
-                    yield pd.DataFrame({"qs": [q[i]["s"] for i in got], "first": start[got], "after": (start + n)[got], "shard": int(shard)})
-
-    runs = paths.mapInPandas(run, "qs string, first long, after long, shard int")
-    return placed.join(runs, placed.s.eqNullSafe(runs.qs) & (placed.place >= runs["first"]) & (placed.place < runs["after"])).select("s", "pass", "bucket", "shard", "place")
+                    yield pd.DataFrame({"qs": [q[i]["s"] for i in got], "first": start[got], "after": (start + n)[got], "width": [max(1, q[i]["n"] // shards) for i in got], "shard": int(shard)})
+
+    # a shard's run meets its few parts of the permutation, not all blocks of the source
+    runs = paths.mapInPandas(run, "qs string, first long, after long, width long, shard int")
+    runs = runs.select("*", F.explode(F.expr("sequence(first div width, (after - 1) div width)")).alias("__p"))
+    on = placed.s.eqNullSafe(runs.qs) & (F.col("__part") == F.col("__p")) & (placed.place >= runs["first"]) & (placed.place < runs["after"])
+    return placed.join(runs, on).select("s", "pass", "bucket", "shard", "place")
+
+
+def mix_takes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", shards: int = 16, seed: int = 7, untaken: bool = False, **more) -> DataFrame:
+    """The mix without texts: the columns of ``plan_documents`` and pass, words (taken this time), shard and slot (order inside
+    the shard), a row for every time a document is taken. With ``untaken``, one that is not taken has a row of 0 words."""
+    planned = written(plan_documents(docs, text=text, doc_id=doc_id, source=source, seed=seed, **more), "plan")
+    shard = block_shards(planned, shards=shards, seed=seed).select(F.col("s").alias("__s"), F.col("pass").alias("__pass"), F.col("bucket").alias("__bucket"), "shard")
+    last = F.col("passes") + F.when(F.col("rest") > 0, 1).otherwise(0)
+    rows = planned.withColumn("pass", F.explode_outer(F.when(last > 0, F.sequence(F.lit(1).cast("long"), last))))
+    on = rows.s.eqNullSafe(F.col("__s")) & (F.col("pass") == F.col("__pass")) & (rows.bucket == F.col("__bucket"))
+    words = F.when(F.col("shard").isNull(), 0).when(F.col("pass") <= F.col("passes"), F.col("size")).otherwise(F.col("rest")).cast("long")
+    out = rows.join(shard, on, "left").select(*planned.columns, "pass", words.alias("words"), "shard", F.xxhash64(F.lit(seed + 2), "pass", "order").alias("slot"))
+    return out if untaken else out.where("words > 0")
+
+
+def _taken(docs: DataFrame, text: str, doc_id: str, source: str, seed: int, more: dict) -> DataFrame:
+    """The columns of ``docs`` and the struct ``__mix``, a row for every time one is taken. Texts are joined once, by a
+    hash of the whole row; rows that are equal in all columns stand for one another."""
+    takes = mix_takes(docs, text=text, doc_id=doc_id, source=source, seed=seed, **more)
+    keyed = docs.withColumn("__k", _hash(seed, docs, docs.columns)).dropDuplicates([doc_id, "__k"])
+    mix = F.struct(*[F.col(c) for c in takes.columns if c not in ("id", "s", "key")]).alias("__mix")
+    t = takes.select(F.col("id").alias("__i"), F.col("key").alias("__key"), mix)
+    return keyed.join(t, F.col(f"`{doc_id}`").eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__key"))).drop("__k", "__i", "__key")
+
+
+def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 7, **more) -> DataFrame:
+    """``mix_takes`` with the columns of ``docs`` and the struct ``mix``."""
+    docs = docs.drop("mix")
+    return _taken(docs, text, doc_id, source, seed, more).withColumnRenamed("__mix", "mix")
 
 
-def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[float] = (1, 2, 3), most: float = 3.0, shards: int = 16, bucket_docs: int = 256, seed: int = 7, untaken: bool = False) -> DataFrame:
-    """The mix itself: a row for every time a document is taken, with the columns of ``docs`` and the struct ``mix``
-    extended by pass, words (taken this time), shard and slot (its order inside the shard). With ``untaken``, a
-    document that is not taken also has a row, of 0 words."""
-    docs = docs.drop("mix")
-    planned = plan_documents(docs, text=text, doc_id=doc_id, source=source, weights=weights, most=most, bucket_docs=bucket_docs, seed=seed)
-    shard = block_shards(planned, source=source, shards=shards, seed=seed)
-    last = F.col("mix.passes") + F.when(F.col("mix.rest") > 0, 1).otherwise(0)
-    rows = planned.withColumn("__p", F.explode_outer(F.when(last > 0, F.sequence(F.lit(1).cast("long"), last))))
-    shard = shard.select(F.col("s").alias("__s"), F.col("pass").alias("__pass"), F.col("bucket").alias("__bucket"), F.col("shard").alias("__shard"))
-    on = F.col(source).eqNullSafe(F.col("__s")) & (F.col("__p") == F.col("__pass")) & (F.col("mix.bucket") == F.col("__bucket"))
-    words = F.when(F.col("__shard").isNull(), 0).when(F.col("__p") <= F.col("mix.passes"), F.col("mix.size")).otherwise(F.col("mix.rest")).cast("long")
-    slot = F.xxhash64(F.lit(seed + 2), "__pass", F.col("mix.order"))
-    out = rows.join(shard, on, "left").withColumn("mix", F.struct("mix.*", F.col("__pass").alias("pass"), words.alias("words"), F.col("__shard").alias("shard"), slot.alias("slot")))
-    out = out.select(*docs.columns, "mix")
-    return out if untaken else out.where("mix.words > 0")
-
-
-def mixed_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", shards: int = 16, **more) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", shards: int = 16, seed: int = 7, **more) -> DataFrame:
     """The mix as documents: a row for every time one is taken, dealt into shards and shuffled inside each. A source's
-    last part pass ends inside one document at most; that row's text is cut after the words it gives. The plan is made
-    without texts, which are joined once and dealt once."""
-    slim = docs.select(F.col(doc_id), F.col(text), F.col(source))
-    takes = mix_sources(slim, text=text, doc_id=doc_id, source=source, shards=shards, **more).groupBy(doc_id, "mix.order").agg(F.collect_list(F.struct("mix.words", "mix.size", "mix.shard", "mix.slot")).alias("__takes"))
-    key = F.xxhash64(F.lit(more.get("seed", 7)), F.col(doc_id).cast("string"), F.col(text))
-    keyed = docs.withColumn("__k", key).dropDuplicates([doc_id, "__k"])
-    t = takes.select(F.col(doc_id).alias("__i"), F.col("order").alias("__o"), "__takes")
-    rows = keyed.join(t, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__o"))).withColumn("__t", F.explode("__takes"))
-    given = F.when(F.col("__t.words") < F.col("__t.size"), _first_words(F.col(text), F.col("__t.words"))).otherwise(F.col(text))
-    rows = rows.withColumn(text, given)
-    return rows.repartition(shards, F.col("__t.shard")).sortWithinPartitions("__t.shard", "__t.slot").select(*docs.columns)
+    last part pass ends inside one document at most; that row's text is cut after the words it gives."""
+    rows = _taken(docs, text, doc_id, source, seed, more | {"shards": shards})
+    given = F.when(F.col("__mix.words") < F.col("__mix.size"), _first_words(F.col(text), F.col("__mix.words"))).otherwise(F.col(text))
+    return rows.withColumn(text, given).repartition(shards, F.col("__mix.shard")).sortWithinPartitions("__mix.shard", "__mix.slot").drop("__mix")
 
 
 def _first_words(text: Column, n: Column) -> Column:

@@ -11,7 +11,7 @@ from chronolattice.llm.decontaminate import contaminated
 from chronolattice.llm.html_extract import extract_pages
 from chronolattice.llm.jaccard_join import jaccard_join
 from chronolattice.llm.license_scan import scan_licenses
-from chronolattice.llm.mixture import mix_sources
+from chronolattice.llm.mixture import mix_takes
 from chronolattice.llm.outliers import quality_rules
 from chronolattice.llm.quality_mil import classify_quality
 from chronolattice.llm.substring_dedup import dedup_substrings
@@ -70,10 +70,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mix_sources(_read(spark, sf_dir, "documents"), untaken=True)
-    keys = [F.col(f"mix.{c}").alias(c) for c in ("size", "source_size", "target", "bucket", "rank")]
-    per = rows.groupBy("doc_id", "source", *keys).agg(F.sum("mix.words").alias("taken"), F.sort_array(F.collect_set("mix.shard")).alias("shards"))
-    return per.select("doc_id", "size", "source_size", "target", "taken", F.concat_ws(",", "shards").alias("shards"))
+    rows = mix_takes(_read(spark, sf_dir, "documents"), untaken=True)
+    per = rows.groupBy("id", "s", "key", "order", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
+    return per.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.concat_ws(",", "shards").alias("shards"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
