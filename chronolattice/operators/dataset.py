@@ -251,7 +251,8 @@ def training_examples(human: DataFrame, synthetic: DataFrame, *, most: int | Non
     ex = both.select("sample_id", "source", "temporal_type", "rank", ask.alias("instruction"), F.concat(F.lit("Question: { "), F.trim("question"), F.lit(" }")).alias("input"), F.trim("s_expression").alias("output"))
     ex = keep_first(ex, [F.col("input"), F.col("output")], F.col("rank"), F.col("sample_id"))
     if most is not None:
-        ex = ex.withColumn("__n", F.row_number().over(Window.partitionBy("rank").orderBy("sample_id"))).where((F.col("rank") == 0) | (F.col("__n") <= most)).drop("__n")
+        # only synthetic ones are counted; a limit over a sort keeps the first of each task and then the first of all
+        ex = ex.where("rank = 0").unionByName(ex.where("rank = 1").orderBy("sample_id").limit(most))
     return ex
 
 

@@ -103,7 +103,7 @@ def distinct_beams(beams: DataFrame) -> DataFrame:
 
 def report(metrics: DataFrame, title: str) -> str:
     """A Markdown table of a small aggregate."""
-    rows = metrics.limit(1000).collect()
+    rows = metrics.collect()
     lines = [f"# {title}", "", "| " + " | ".join(metrics.columns) + " |", "|" + "-|" * len(metrics.columns)]
     return "\n".join(lines + ["| " + " | ".join("N/A" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
 

@@ -20,37 +20,40 @@ def ground_exact(predicted: DataFrame, relations: DataFrame) -> DataFrame:
     return j.withColumn("rel", F.coalesce("__x", "__y")).drop("__a", "__b", "__x", "__y")
 
 
-def ground_fuzzy(predicted: DataFrame, relations: DataFrame, cutoff: float = 0.6, suffix_cutoff: float = 0.5) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, each: int) -> tuple[DataFrame, int]:
+    """``rows`` with a block number by a hash of ``key``, and the number of blocks: of some ``each`` rows, however many."""
+    n = max(1, -(-rows.count() // each))
+    return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n))), n
+
+
+def ground_fuzzy(predicted: DataFrame, relations: DataFrame, cutoff: float = 0.6, suffix_cutoff: float = 0.5, each: int = 10_000) -> DataFrame:
     """(relation, rel, path, score, how): exact where possible, else the most similar path (Ratcliff-Obershelp ratio), else
-    the most similar of those that share the last part. The dictionary is a few thousand names, broadcast with a check."""
-    n = relations.limit(200_001).count()
-    if n > 200_000:
-        raise ValueError("the relation dictionary is too large to compare with in every task")
+    the most similar of those that share the last part; of equals the greatest path. Distinct predictions are compared with
+    the whole dictionary, block by block."""
     exact = ground_exact(predicted.select("relation").distinct(), relations)
-    names = sorted((r["path"], r["rel"]) for r in relations.collect())
+    dictionary, n = _blocks(relations.select("path", "rel"), "path", each)
+    packed = dictionary.groupBy("block").agg(F.collect_list("path").alias("paths"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher, get_close_matches
 
-        number, paths = dict(names), [p for p, _ in names]
-        last: dict[str, list[str]] = {}
-        for p in paths:
-            last.setdefault(p.rsplit("/", 1)[-1], []).append(p)
         for b in batches:
             out = []
-            for r in b.relation:
+            for r, paths in zip(b.relation, b.paths, strict=True):
                 want = "/" + r.strip("/").replace(".", "/")
-                hit = get_close_matches(want, paths, 1, cutoff)
-                how = "fuzzy"
-                if not hit:
-                    hit, how = get_close_matches(want, last.get(want.rsplit("/", 1)[-1], []), 1, suffix_cutoff), "suffix"
-                p = hit[0] if hit else None
-                out.append((r, number.get(p), p, SequenceMatcher(None, p, want).ratio() if p else None, how if p else "none"))
-            yield pd.DataFrame(out, columns=["relation", "rel", "path", "score", "how"]).astype({"rel": "Int64"})
-
+                end = "/" + want.rsplit("/", 1)[-1]
+                for how, among, least in ((1, paths, cutoff), (0, [p for p in paths if p.endswith(end)], suffix_cutoff)):
+                    for p in get_close_matches(want, among, 1, least):
+                        out.append((r, how, SequenceMatcher(None, p, want).ratio(), p))
+            yield pd.DataFrame(out, columns=["relation", "fuzzy", "score", "path"])
+
+    rest = exact.where("rel is null").select("relation")
+    asked = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    best = asked.join(packed, "block").select("relation", "paths").mapInPandas(run, "relation string, fuzzy int, score double, path string")
+    best = best.groupBy("relation").agg(F.max(F.struct("fuzzy", "score", "path")).alias("b"))
+    near = best.select("relation", "b.*").join(relations.select("path", "rel"), "path").select("relation", F.col("rel").cast("long").alias("rel"), "path", "score", F.when(F.col("fuzzy") == 1, "fuzzy").otherwise("suffix").alias("how"))
     found = exact.where("rel is not null").join(relations.select("rel", "path"), "rel").select("relation", F.col("rel").cast("long").alias("rel"), "path", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
-    rest = exact.where("rel is null").select("relation").mapInPandas(run, "relation string, rel long, path string, score double, how string")
-    return predicted.select("relation").join(found.unionByName(rest), "relation", "left")
+    return predicted.select("relation").join(found.unionByName(near), "relation", "left").withColumn("how", F.coalesce("how", F.lit("none")))
 
 
 def ground_entities(predicted: DataFrame, entities: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def normal_name(c: Column) -> Column:
 
 
 def surface_index(surface_map: DataFrame, entities: DataFrame) -> DataFrame:
-    """(surface, mid, score, name, popularity): forms of known entities; a form of one entity once, its last score kept."""
+    """(surface, mid, score, name, popularity): forms of known entities; a form of one entity once, with its best score."""
     s = surface_map.select(normal_name(F.col("surface")).alias("surface"), "mid", "score").groupBy("surface", "mid").agg(F.max("score").alias("score"))
     return s.join(entities.select("mid", "name", F.col("score").alias("popularity")), "mid")
 
@@ -116,7 +119,7 @@ def can_name(part: Column, before: Column, after: Column) -> Column:
     return counts & F.when(F.size(part) == 1, single).otherwise(F.forall(pos, lambda p: p.rlike(TAGS)))
 
 
-def link(questions: DataFrame, index: DataFrame, *, least: float = 0.3, longest: int = 8) -> DataFrame:
+def link(questions: DataFrame, index: DataFrame, *, least: float = 0.3, longest: int | None = None) -> DataFrame:
     """(qid, start, end, span, mid, surface_score, perfect, score): entities of all spans. A perfect match of the main name
     weighs sixty times."""
     s = spans(questions, longest).where(can_name(F.col("part"), F.col("before"), F.col("after"))).withColumn("surface", normal_name(F.col("span")))
@@ -144,32 +147,31 @@ def date_mentions(questions: DataFrame) -> DataFrame:
     return q.where((F.col("t.pos") == "CD") & F.col("t.text").rlike(r"^\d{4}$")).select("qid", "at", F.col("t.text").alias("year"))
 
 
-def maximal_sets(linked: DataFrame, most: int = 20) -> DataFrame:
-    """(qid, spans): all largest sets of spans that do not overlap. A question has few spans (``most`` is checked), so sets
-    are listed in the worker; questions never meet each other."""
+def maximal_sets(linked: DataFrame) -> DataFrame:
+    """(qid, spans): all sets of spans that do not overlap and to which none can be added. A set grows by spans between
+    which and its end no other fits, so nothing is tried in vain; rows leave as they are found."""
     per = linked.select("qid", F.struct("start", "end").alias("s")).distinct().groupBy("qid").agg(F.sort_array(F.collect_set("s")).alias("s"))
 
+    def sets(v: list[tuple[int, int]]) -> Iterator[str]:
+        stack = [((), -1)]
+        while stack:
+            chosen, at = stack.pop()
+            later = [x for x in v if x[0] >= at]
+            if not later:
+                yield " ".join(f"{a}-{b}" for a, b in chosen)
+            first = min((b for _, b in later), default=0)
+            stack += [((*chosen, x), x[1]) for x in later if x[0] < first]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for q, ss in zip(b.qid, b.s, strict=True):
-                v = [(int(x["start"]), int(x["end"])) for x in ss]
-                if len(v) > most:
-                    raise ValueError(f"{q} has {len(v)} spans")
-                apart = lambda x, y: x[1] <= y[0] or y[1] <= x[0]
-
-                def grow(chosen: tuple, rest: list, out=out, v=v, q=q, apart=apart) -> None:
-                    if not rest:
-                        if all(any(not apart(x, c) for c in chosen) for x in v if x not in chosen):
-                            out.append((q, " ".join(f"{s}-{e}" for s, e in chosen)))
-                        return
-                    x, more = rest[0], rest[1:]
-                    if all(apart(x, c) for c in chosen):
-                        grow((*chosen, x), more)
-                    grow(chosen, more)
-
-                grow((), v)
-            yield pd.DataFrame(sorted(set(out)), columns=["qid", "spans"])
+                for text in sets([(int(x["start"]), int(x["end"])) for x in ss]):
+                    out.append((q, text))
+                    if len(out) == 10_000:
+                        yield pd.DataFrame(out, columns=["qid", "spans"])
+                        out = []
+            yield pd.DataFrame(out, columns=["qid", "spans"])
 
     types = dict(linked.dtypes)
     return per.mapInPandas(run, f"qid {types['qid']}, spans string")
@@ -180,17 +182,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(queries: DataFrame, labels: DataFrame, k: int = 1, least: float = 0.2, most_labels: int = 100_000) -> DataFrame:
-    """(query, label, similarity): the k labels most similar to each query vector, above ``least``. Labels are a vocabulary
-    whose size is checked before they are broadcast; queries are compared with all of them, block by block."""
-    if labels.limit(most_labels + 1).count() > most_labels:
-        raise ValueError("too many labels to broadcast")
-    packed = labels.groupBy(F.pmod(F.xxhash64("label"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct("label", "vector")).alias("ls"))
-    q = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))))
-    j = q.join(F.broadcast(packed), "block").select("query", F.col("vector").alias("v"), F.explode("ls").alias("l"))
-    s = j.select("query", "l.label", F.round(cosine(F.col("v"), F.col("l.vector")), 6).alias("similarity")).where(F.col("similarity") > least)
-    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "label"))
-    return s.withColumn("rank", n).where(F.col("rank") <= k)
+def nearest(queries: DataFrame, labels: DataFrame, k: int = 1, least: float = 0.2, each: int = 512) -> DataFrame:
+    """(query, label, similarity, rank): the k labels most similar to each query vector, above ``least``. A stated set of
+    queries against all labels, block by block: a block of labels yields its k best before anything is ranked."""
+    blocked, n = _blocks(labels, "label", each)
+    packed = blocked.groupBy("block").agg(F.collect_list(F.struct("label", "vector")).alias("ls"))
+    q = queries.select("query", F.col("vector").alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"))
+    scored = F.transform("ls", lambda l: F.struct((-F.round(cosine(F.col("v"), l["vector"]), 6)).alias("far"), l["label"].alias("label")))
+    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["far"] < -least)), 1, k)
+    s = q.join(packed, "block").select("query", F.explode(best).alias("b")).select("query", "b.label", (-F.col("b.far")).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "label"))
+    return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def expand(slots: DataFrame, most: int = 10_000) -> DataFrame:

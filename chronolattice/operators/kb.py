@@ -42,30 +42,47 @@ def quiet(relation: Column, noise: tuple[str, ...] = NOISE) -> Column:
     return ~full.rlike("(?i)" + "|".join(map(re.escape, noise)))
 
 
-def two_hop(graph: DataFrame, entities: DataFrame, pattern: str, noise: tuple[str, ...] | None = NOISE, roles: DataFrame | None = None) -> DataFrame:
-    """(entity, r0, r1): pairs of relations on two-hop paths. pattern: two letters, i for a hop into the nearer node, o for one
-    out of it. Hops that leave the nearer node carry #R. Relations are filtered on a table of their names, not on facts."""
-    names = graph.select("p").distinct()
-    names = names.where(quiet(F.col("p"), noise)) if noise else names
+def _edges(graph: DataFrame, noise: tuple[str, ...] | None, roles: DataFrame | None) -> DataFrame:
+    """Edges between entities. The noise is a filter on the relation itself: where that is a literal of a branch it is
+    decided when the plan is made, and the branch goes or stays as a whole."""
+    edges = graph.where("o_kind = 'entity'")
+    edges = edges.where(quiet(F.col("p"), noise)) if noise else edges
     if roles is not None:
-        names = names.join(roles.select(F.col("relation").alias("p")), "p", "left_semi")
-    edges = graph.join(names, "p", "left_semi").where("o_kind = 'entity'").select("s", "p", "o")
+        # the name is kept from folding, so that the semi-join keeps its key
+        edges = edges.withColumn("p", F.concat(F.col("p"), F.substring("s", 1, 0))).join(roles.select(F.col("relation").alias("p")), "p", "left_semi")
+    return edges.select("s", "p", "o")
 
-    def hop(near: str, far: str, name: str, way: str) -> DataFrame:
+
+def _hops(edges: DataFrame, near: str, far: str, name: str, ways: str) -> DataFrame:
+    """Hops into (i) or out of (o) the nearer node, with the relation's name; those out of it carry #R."""
+    parts = []
+    for way in dict.fromkeys(ways):
         a, b = ("o", "s") if way == "i" else ("s", "o")
-        return edges.select(F.col(a).alias(near), F.col("p").alias(name), F.col(b).alias(far))
+        mark = F.concat(F.col("p"), F.lit("#R")) if way == "o" else F.col("p")
+        parts.append(edges.select(F.col(a).alias(near), mark.alias(name), F.col(b).alias(far)))
+    return reduce(DataFrame.unionByName, parts)
+
 
-    first = hop("entity", "x1", "r0", pattern[0]).join(entities, "entity", "left_semi").distinct()
-    both = first.join(hop("x1", "x2", "r1", pattern[1]), "x1")
-    if pattern[0] != pattern[1]:  # the second hop may come back to where the path began
-        both = both.where(F.col("x2") != F.col("entity"))
-    mark = lambda c, way: F.concat(F.col(c), F.lit("#R")) if way == "o" else F.col(c)
-    return both.select("entity", mark("r0", pattern[0]).alias("r0"), mark("r1", pattern[1]).alias("r1")).distinct()
+def _two_hops(edges: DataFrame, entities: DataFrame, first: str, second: str) -> DataFrame:
+    """(entity, r0, r1) of all paths whose hops have these ways. Of the nodes a second hop reaches only the least and the
+    greatest are kept: they tell whether one is not where the path began."""
+    one = _hops(edges, "entity", "x1", "r0", first).join(entities, "entity", "left_semi").distinct()
+    two = _hops(edges, "x1", "x2", "r1", second).join(one.select("x1").distinct(), "x1", "left_semi")
+    two = two.groupBy("x1", "r1").agg(F.min("x2").alias("least"), F.max("x2").alias("most"))
+    same = F.col("r0").endswith("#R") == F.col("r1").endswith("#R")
+    both = one.join(two, "x1").where(same | (F.col("least") != F.col("entity")) | (F.col("most") != F.col("entity")))
+    return both.select("entity", "r0", "r1").distinct()
+
+
+def two_hop(graph: DataFrame, entities: DataFrame, pattern: str, noise: tuple[str, ...] | None = NOISE, roles: DataFrame | None = None) -> DataFrame:
+    """(entity, r0, r1): pairs of relations on two-hop paths. pattern: two letters, i for a hop into the nearer node, o for one
+    out of it. Hops that leave the nearer node carry #R; where the ways differ the path does not end where it began."""
+    return _two_hops(_edges(graph, noise, roles), entities, pattern[0], pattern[1])
 
 
 def two_hop_batch(graph: DataFrame, entities: DataFrame) -> DataFrame:
-    """(entity, relations): all relations on two-hop paths of each entity."""
-    found = reduce(DataFrame.unionByName, [two_hop(graph, entities, a + b, NOISE_STRICT) for a in "io" for b in "io"])
+    """(entity, relations): all relations on two-hop paths of each entity, the four patterns at once."""
+    found = _two_hops(_edges(graph, NOISE_STRICT, None), entities, "io", "io")
     each = found.select("entity", F.explode(F.array(*[F.regexp_replace(c, "#R$", "") for c in ("r0", "r1")])).alias("r")).distinct()
     return each.groupBy("entity").agg(F.sort_array(F.collect_set("r")).alias("relations"))
 

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolattice.sources.storage import placed
 
-def pack(rows: DataFrame, length: int, *order: Column, buckets: int = 64) -> DataFrame:
-    """(block, ids): all ids one after another in order, cut into blocks of ``length``; a rest is dropped.
 
-    Places are running sums taken in two steps (ranges of the order, then rows inside a range), so no single task sees
-    all rows."""
-    r = rows.withColumn("__n", F.size("ids").cast("long")).repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id())
-    inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = r.groupBy("__p").agg(F.sum("__n").alias("__z"))
-    before = totals.withColumn("__b", F.coalesce(F.sum("__z").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__z")
-    r = r.withColumn("__i", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(before, "__p")
-    each = r.select((F.col("__b") + F.col("__i")).alias("at"), F.posexplode("ids").alias("k", "id")).withColumn("at", F.col("at") + F.col("k"))
-    g = each.groupBy(F.floor(F.col("at") / length).alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("x"))
-    return g.where(F.size("x") == length).select("block", F.transform("x", lambda v: v["id"]).alias("ids"))
+def pack(rows: DataFrame, length: int, *order: Column) -> DataFrame:
+    """(block, ids): all ids one after another in order, cut into blocks of ``length``; a rest is dropped. A row gives each
+    block it reaches into one run of its ids, so rows grow with rows and blocks, not with ids."""
+    r = placed(rows, F.size("ids"), "at", *order).where(F.size("ids") > 0)
+    last = F.col("at") + F.size("ids") - 1
+    r = r.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / length), F.floor(last / length))))
+    begin = F.greatest(F.lit(0).cast("long"), F.col("block") * length - F.col("at"))
+    run = F.slice("ids", (begin + 1).cast("int"), F.least(F.lit(length), F.size("ids") - begin, (F.col("block") + 1) * length - F.col("at")).cast("int"))
+    g = r.groupBy("block").agg(F.sort_array(F.collect_list(F.struct((F.col("at") + begin).alias("from"), run.alias("run")))).alias("x"))
+    g = g.select("block", F.flatten(F.transform("x", lambda v: v["run"])).alias("ids"))
+    return g.where(F.size("ids") == length)
 
 
 def truncate(rows: DataFrame, cutoff: int, source: str = "source_ids", target: str = "target_ids") -> DataFrame:
@@ -31,12 +31,13 @@ def truncate(rows: DataFrame, cutoff: int, source: str = "source_ids", target: s
 
 def interleave(first: DataFrame, second: DataFrame, *order: Column) -> DataFrame:
     """Rows in turn from both, until one of them ends."""
-    w = Window.orderBy(*order)
-    a = first.withColumn("turn", F.row_number().over(w) * 2 - 2)
-    b = second.withColumn("turn", F.row_number().over(w) * 2 - 1)
+    one = F.lit(1)
+    a = placed(first, one, "turn", *order).withColumn("turn", F.col("turn") * 2)
+    b = placed(second, one, "turn", *order).withColumn("turn", F.col("turn") * 2 + 1)
     both = a.unionByName(b)
-    n = F.least(*[F.lit(x) for x in (first.count(), second.count())])
-    return both.where(F.col("turn") < 2 * n)
+    ends = both.groupBy().agg(F.count_if(F.col("turn") % 2 == 0).alias("__a"), F.count_if(F.col("turn") % 2 == 1).alias("__b"))
+    n = ends.select((2 * F.least("__a", "__b")).alias("__n"))
+    return both.join(F.broadcast(n), F.col("turn") < F.col("__n")).drop("__n")
 
 
 def dialogues(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -112,7 +112,10 @@ class Compiler:
             df = pairs.join(inner, v)
         else:
             df = self.of(p, "x", v).drop(f"{v}_kind", f"{v}_lang", f"{v}_datatype").join(inner, v).withColumns({"x_kind": F.lit("entity"), "x_lang": F.lit(None).cast("string")})
-        return Rows(df.select("x", "x_kind", "x_lang", v, *child.vars), [v, *child.vars], child.order)
+        if not self.options.exclusions and not child.order:  # nobody asks which way an answer was reached
+            return Rows(df.select("x", "x_kind", "x_lang").distinct())
+        # each way once, whatever the number of edges between its nodes
+        return Rows(df.select("x", "x_kind", "x_lang", v, *child.vars).distinct(), [v, *child.vars], child.order)
 
     def _literal(self, token: str) -> Column:
         m = re.match(r'^"?(.*?)"?(?:@([\w-]+)|\^\^(.*))?$', token, re.S)
@@ -121,13 +124,24 @@ class Compiler:
         found = (F.col("o_kind") == "literal") & (F.col("o").startswith(text) if prefix else F.col("o") == text)
         return found & (F.col("o_lang") == lang) if lang else found
 
-    def _and(self, a, b) -> Rows:
+    def apart(self, r: Rows) -> DataFrame:
+        """Rows whose answer is none of the variables on its way."""
+        df = r.df
+        if self.options.exclusions:
+            for v in r.vars:
+                df = df.where(F.col(v).isNull() | (F.col("x") != F.col(v)))
+        return df
+
+    def _and(self, a, b, root: bool = False) -> Rows:
         for x, y in ((a, b), (b, a)):
             if isinstance(x, str) and sexpr.kind(x) == "class":
                 r = self.rows(y)
                 of_class = self.graph.where((F.col("p") == TYPE) & (F.col("o") == x)).select(F.col("s").alias("x"))
                 return Rows(r.df.join(of_class, "x", "left_semi"), r.vars, r.order)
         left, right = self.rows(a), self.rows(b)
+        if root and not left.order and not right.order:
+            # what the right side excludes concerns its own ways only: its answers are enough
+            right = Rows(self.apart(right).select("x").distinct())
         if not right.vars and not right.order:  # nothing of the right side is needed but its answers
             return Rows(left.df.join(right.df.select("x"), "x", "left_semi"), left.vars, left.order)
         return Rows(left.df.join(right.df.drop("x_kind", "x_lang"), "x"), left.vars + right.vars, left.order or right.order)
@@ -172,7 +186,8 @@ class Compiler:
     def _tc(self, child, rel: str, time: str) -> Rows:
         r = self.rows(child)
         lo, hi = (instant(F.lit(t)) for t in time_bounds(time, self.options.now))
-        start, end = (self.graph.where(F.col("p") == p) for p in (rel, end_relation(rel)))
+        asked = r.df.select("x").distinct()  # ends of other nodes are not looked at
+        start, end = (self.graph.where(F.col("p") == p).join(asked, F.col("s") == F.col("x"), "left_semi") for p in (rel, end_relation(rel)))
         if self.options.tc_form == "exists":
             df = r.df
             for found, test in ((start, instant(F.col("o")) <= hi), (end, instant(F.col("o")) >= lo)):
@@ -180,7 +195,7 @@ class Compiler:
                 ok = found.where(test).select(F.col("s").alias("x")).distinct().withColumn("__ok", F.lit(True))
                 df = df.join(has, "x", "left").join(ok, "x", "left").where("__has is null or __ok").drop("__has", "__ok")
             return Rows(df, r.vars, r.order)
-        both = self.graph.where(F.col("p").isin(rel, end_relation(rel))).select(F.col("s").alias("x"), "p", instant(F.col("o")).alias("t"))
+        both = self.graph.where(F.col("p").isin(rel, end_relation(rel))).select(F.col("s").alias("x"), "p", instant(F.col("o")).alias("t")).join(asked, "x", "left_semi")
         first, last = F.col("p") == rel, F.col("p") == end_relation(rel)
         spans = both.groupBy("x").agg(F.count_if(first).alias("__n"), F.min(F.when(first, F.col("t"))).alias("__a"), F.count_if(last).alias("__m"), F.max(F.when(last, F.col("t"))).alias("__b"))
         begun = F.coalesce(F.col("__n"), F.lit(0)) == 0
@@ -207,8 +222,8 @@ class Compiler:
         op = e[0] if isinstance(e, list) else None
         if op == "COUNT":
             return self.answers(e[1]).agg(F.count_distinct("x").alias("x"))
-        r = self._arg(op, e[1], e[2], root=True) if op in ("ARGMAX", "ARGMIN") else self.rows(e)
-        df = r.df
+        r = self._arg(op, e[1], e[2], root=True) if op in ("ARGMAX", "ARGMIN") else self._and(e[1], e[2], root=self.options.dialect != "cwq") if op == "AND" else self.rows(e)
+        df = self.apart(r)
         if self.options.exclusions:
             if self.options.language:
                 spoken = F.coalesce(F.col("x_lang"), F.lit(""))
@@ -216,8 +231,6 @@ class Compiler:
             named = sexpr.entities(e)
             if named and not (self.options.dialect == "cwq" and r.vars):
                 df = df.where(~F.col("x").isin(named))
-            for v in r.vars:
-                df = df.where(F.col(v).isNull() | (F.col("x") != F.col(v)))
         if r.order:
             df = self.best(df, *r.order)
         return df.select("x").distinct()
@@ -229,11 +242,13 @@ def compile_expr(graph: DataFrame, text, options: Options = Options()) -> DataFr
     return Compiler(graph, options).answers(e)
 
 
-def first_executable(graph: DataFrame, beams: list[str], options: Options = Options()) -> tuple[str | None, list]:
-    """The first of ranked expressions that has answers, and the answers."""
+def first_executable(graph: DataFrame, beams: list[str], options: Options = Options(), fetch: int | None = 10_000) -> tuple[str | None, list]:
+    """The first of one question's ranked expressions that has answers, and the answers: the first ``fetch`` in order, or all
+    of them. A count is an answer, also of none."""
     for text in beams:
         if sexpr.valid(text):
-            got = [r["x"] for r in compile_expr(graph, text, options).sort("x").limit(10_000).collect()]
-            if got and got != [0]:
+            rows = compile_expr(graph, text, options).sort("x")
+            got = [r["x"] for r in (rows.limit(fetch) if fetch is not None else rows).collect()]
+            if got:
                 return text, got
     return None, []
