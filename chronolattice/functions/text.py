@@ -198,8 +198,34 @@ def time_constraint(s: Column) -> Column:
     return F.when(tc != "", F.concat_ws(" ", rel, time)).when(s.contains("(ARGMAX"), "latest").when(s.contains("(ARGMIN"), "earliest")
 
 
+#: Fixed value: characters that XML does not hold.
+ILLEGAL = r"[\x00-\x08\x0B-\x1F\x7F-\x84\x86-\x9F\uD800-\uDFFF\uFDD0-\uFDDF\uFFFE\uFFFF]"
+
+
 def xml_clean(s: Column) -> Column:
-    return F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    return F.regexp_replace(s, ILLEGAL, "")
+
+
+def is_number(s: Column) -> Column:
+    """Whether a text is a decimal number (a comma with a blank beside it counts as the point) or one sign that stands for one."""
+    t = F.trim(F.regexp_replace(s, " , |, | ,", "."))
+    return t.rlike(r"(?i)^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$") | s.rlike(r"^\p{N}$")
+
+
+def role_hint(relation: Column) -> Column:
+    """The last part of a relation's path, in words."""
+    return F.replace(F.element_at(F.split(F.rtrim(relation, F.lit("/")), r"[./]"), -1), F.lit("_"), F.lit(" "))
+
+
+def unsupported(sexpr: Column) -> Column:
+    """Whether an expression holds one of the operators that are never executed, anywhere in its text (fixed values)."""
+    return sexpr.rlike("OR|WITH|PLUS")
+
+
+def short_relations(textual: Column) -> Column:
+    """A textual form with the last part of each relation only; entities and typed literals stay."""
+    tokens = F.transform(F.split(textual, " "), lambda t: F.when(t.startswith("m.") | t.contains("XMLSchema") | ~t.contains("."), t).otherwise(F.element_at(F.split(t, r"\."), -1)))
+    return F.array_join(tokens, " ")
 
 
 def hint_for(relation: Column, hints: tuple[str, ...] = ("from", "to", "start", "end", "date", "year", "time", "datetime")) -> Column:

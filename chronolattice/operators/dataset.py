@@ -63,9 +63,9 @@ TEMPLATES = (
 )
 
 
-def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, high: int = 2025, cap: int | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, high: int = 2025, cap: int | None = None, total: int | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """Facts of the families: topic and answer differ, years lie within bounds where there are any, each hash once, at
-    most ``cap`` a family (those of the smallest hashes)."""
+    most ``cap`` a family (those of the smallest hashes) and ``total`` of all (families in their order)."""
     label = graph.where((F.col("p") == LABEL) & (F.col("o_lang") == "en")).groupBy(F.col("s").alias("mid")).agg(F.min("o").alias("label"))
     parts = []
     for f in of:
@@ -82,7 +82,23 @@ def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, hig
     h = fx.row_hash(*[F.col(c) for c in ("fact_relation_family", "topic_mid", "answer_mid", "temporal_start", "temporal_end")])
     facts = facts.withColumn("supporting_row_hash", h).dropDuplicates(["supporting_row_hash"])
     facts = facts.withColumn("fact_id", F.concat_ws("-", "fact_relation_family", "supporting_row_hash"))
-    return cap_by(facts, "fact_relation_family", cap, F.col("supporting_row_hash")) if cap else facts
+    facts = cap_by(facts, "fact_relation_family", cap, F.col("supporting_row_hash")) if cap else facts
+    place = F.array_position(F.array(*[F.lit(f.family) for f in of]), F.col("fact_relation_family"))
+    return facts.orderBy(place, "supporting_row_hash").limit(total) if total is not None else facts
+
+
+def fact_totals(facts: DataFrame) -> DataFrame:
+    """One row: facts, those with labels and with either end, distinct topics and answers."""
+    there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return facts.agg(
+        F.count("*").alias("total_facts"), F.count_if(there("topic_label") & there("answer_label")).alias("with_labels"), F.count_if(there("temporal_start")).alias("with_temporal_start"), F.count_if(there("temporal_end")).alias("with_temporal_end"),
+        F.count_distinct("topic_mid").alias("unique_topics"), F.count_distinct("answer_mid").alias("unique_answers"),
+    )
+
+
+def fact_sample(facts: DataFrame, n: int = 10) -> DataFrame:
+    """The first facts by id, as a summary shows them (a top-k report)."""
+    return facts.orderBy("fact_id").limit(n).select("fact_id", F.col("fact_relation_family").alias("family"), F.col("topic_label").alias("topic"), F.col("answer_label").alias("answer"), F.col("temporal_start").alias("start"), F.col("temporal_end").alias("end"))
 
 
 def cap_by(df: DataFrame, group: str | Column, most: int, *order: Column) -> DataFrame:
@@ -184,6 +200,27 @@ def review_summary(samples: DataFrame) -> DataFrame:
     return status.unionByName(reasons)
 
 
+def review_totals(samples: DataFrame) -> DataFrame:
+    """One row: samples, accepted, rejected, and the share accepted."""
+    ok = F.size("filter_issues") == 0
+    n = reviewed(samples).agg(F.count("*").alias("total_samples"), F.count_if(ok).alias("accepted_samples"), F.count_if(~ok).alias("rejected_samples"))
+    return n.withColumn("acceptance_rate", F.when(F.col("total_samples") == 0, 0.0).otherwise(F.round(F.col("accepted_samples") / F.col("total_samples"), 4)))
+
+
+def verify_totals(verified: DataFrame) -> DataFrame:
+    """One row: candidates, passed, failed, and the percentage passed."""
+    n = verified.agg(F.count("*").alias("total_candidates"), F.count_if("verified").alias("passed"), F.count_if(~F.col("verified")).alias("failed"))
+    return n.withColumn("pass_rate", F.when(F.col("total_candidates") == 0, 0.0).otherwise(F.round(100 * F.col("passed") / F.col("total_candidates"), 1)))
+
+
+def training_summary(examples: DataFrame) -> DataFrame:
+    """(metric, key, n): all examples, those with metadata (a source), and of these by source and type."""
+    told = examples.where(F.col("source").isNotNull())
+    by = summary(told, by_source=F.col("source"), by_temporal_type=F.coalesce("temporal_type", F.lit("unknown")))
+    totals = examples.agg(F.count("*").alias("total_examples"), F.count("source").alias("with_metadata"))
+    return totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("").alias("key"), F.col(c).alias("n")) for c in totals.columns])).alias("x")).select("x.*").unionByName(by)
+
+
 def distribution_filter(samples: DataFrame, *, family: int = 200, kind: int = 500, bucket: int = 300, least: int = 10, seed: int = 42) -> DataFrame:
     """Length, repeats, then caps by family, type and decade, in this order."""
     s = samples.where(F.length(F.trim("question")) >= least)
@@ -240,9 +277,11 @@ STANDARD = "Generate a Logical Form query that retrieves the information corresp
 TEMPORAL = "Generate a Logical Form query for this temporal question, using TC operators for date constraints and ARGMAX/ARGMIN for ordinal constraints.\n"
 
 
-def training_examples(human: DataFrame, synthetic: DataFrame, *, most: int | None = None, split: str | None = None) -> DataFrame:
+def training_examples(human: DataFrame, synthetic: DataFrame, *, most: int | None = None, split: str | None = None, suspicious: bool = True) -> DataFrame:
     """Instruction examples: people's samples before synthetic ones, each (input, output) once, at most ``most`` synthetic ones
-    of those that are kept."""
+    of those that are kept; without ``suspicious``, people's samples whose column of that name is true stay out."""
+    if not suspicious:
+        human = human.where(~F.coalesce("suspicious", F.lit(False)))
     both = human.select("sample_id", "question", "s_expression", "split", "source", "temporal_type", F.lit(0).alias("rank")).unionByName(synthetic.select("sample_id", "question", "s_expression", "split", "source", "temporal_type", F.lit(1).alias("rank")))
     both = both.where(~_blank("s_expression") & (F.lower("s_expression") != "null"))
     if split:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolattice.functions import text as fx
+from chronolattice.operators.grounding import ground_entities, ground_fuzzy
 from chronolattice.plans import sexpr
+from chronolattice.sources.storage import placed
 
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -143,3 +145,50 @@ def text_overlap(pairs: DataFrame, label: str = "label", predict: str = "predict
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes) + ", rouge1 double, rouge2 double, rougel double, bleu4 double"
     return pairs.mapInPandas(run, schema)
+
+
+def zipped(first: DataFrame, second: DataFrame, order_first: Column, order_second: Column) -> DataFrame:
+    """Rows of both that stand at the same place of their orders, side by side; what is longer loses its end."""
+    a, b = placed(first, F.lit(1), "pos", order_first), placed(second, F.lit(1), "pos", order_second)
+    return a.join(b, "pos")
+
+
+def components(beams: DataFrame) -> DataFrame:
+    """``beams`` with valid, pred_rel and pred_mid: the first relation and entity of an expression that can be read."""
+    ok = beams.withColumn("valid", valid_expressions(F.col("sexpr")))
+    rel, mid = F.get(fx.sexpr_relations(F.col("sexpr")), F.lit(0)), F.get(fx.sexpr_entities(F.col("sexpr")), F.lit(0))
+    ok = ok.withColumn("pred_rel", F.when(F.col("valid"), rel)).withColumn("pred_mid", F.when(F.col("valid"), mid))
+    return ok.withColumn("valid", F.col("valid") & F.col("pred_rel").isNotNull() & F.col("pred_mid").isNotNull())
+
+
+def grounded(beams: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """``components`` with how (exact, fuzzy, suffix or none) of the relation and id of the entity. Distinct names are
+    grounded, not beams."""
+    c = components(beams).where("valid")
+    r = ground_fuzzy(c.select(F.col("pred_rel").alias("relation")).distinct(), relations).select(F.col("relation").alias("pred_rel"), "how", F.col("path").alias("grounded_rel"))
+    e = ground_entities(c.select(F.col("pred_mid").alias("mid")).distinct(), entities).select(F.col("mid").alias("pred_mid"), F.col("id").alias("grounded_mid"))
+    return c.join(r, "pred_rel", "left").join(e, "pred_mid", "left")
+
+
+def grounding_counters(found: DataFrame) -> DataFrame:
+    """One row of counts over ``grounded`` beams."""
+    rel, ent = F.coalesce(F.col("how"), F.lit("none")) != "none", F.col("grounded_mid").isNotNull()
+    return found.agg(F.count("*").alias("total_valid"), F.count_if(F.col("how") == "exact").alias("relations_exact"), F.count_if(rel & (F.col("how") != "exact")).alias("relations_fuzzy"), F.count_if(ent).alias("entities_exact"), F.count_if(rel & ent).alias("both_grounded"))
+
+
+def grounding_failures(found: DataFrame, most: int = 15) -> DataFrame:
+    """(failure, n): the commonest names that were not found (a top-k report)."""
+    rel = F.when(F.coalesce(F.col("how"), F.lit("none")) == "none", F.concat(F.lit("rel:"), F.substring(F.element_at(F.split("pred_rel", r"\."), -1), 1, 40)))
+    ent = F.when(F.col("grounded_mid").isNull(), F.concat(F.lit("ent:"), F.substring("pred_mid", 1, 30)))
+    return found.select(F.explode(F.array_compact(F.array(rel, ent))).alias("failure")).groupBy("failure").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "failure").limit(most)
+
+
+def hit_rates(converted: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """One row: the share of rows with an expression and, given ``answers`` (id, predicted) for rows with id and gold, the
+    share whose answers are the gold ones as sets."""
+    n = F.round(F.avg(F.col("ok").cast("double")), 6).alias("parsed")
+    if answers is None:
+        return converted.agg(n)
+    j = converted.join(answers, "id", "left")
+    same = F.sort_array(F.array_distinct(F.coalesce("predicted", F.array().cast("array<string>")))) == F.sort_array(F.array_distinct("gold"))
+    return j.agg(n, F.round(F.avg((F.col("ok") & same).cast("double")), 6).alias("executed"))

@@ -92,6 +92,11 @@ def top_surface(mentions: DataFrame, index: DataFrame, k: int = 10) -> DataFrame
     return m.withColumn("rank", n).where(F.col("rank") <= k).select("mention", "mid", "score", "rank")
 
 
+def strong_surface(mentions: DataFrame, index: DataFrame, k: int = 50, least: float = 0.001) -> DataFrame:
+    """What stands in for labels that name nothing: of the k best entities of a mention the first, and others of ``least``."""
+    return top_surface(mentions, index, k).where((F.col("rank") == 1) | (F.col("score") >= least))
+
+
 def spans(questions: DataFrame, longest: int | None = None) -> DataFrame:
     """(qid, start, end, part, before, after, span): all runs of tokens, with the tags around them; ``questions`` has qid and tokens (structs of text, lemma, pos)."""
     q = questions.select("qid", "tokens", F.posexplode("tokens").alias("start", "__t"))
@@ -141,6 +146,12 @@ def prune(linked: DataFrame, k: int = 7) -> DataFrame:
     return linked.withColumn("rank", n).where(F.col("rank") <= k)
 
 
+def by_length(linked: DataFrame) -> DataFrame:
+    """``linked`` with place: links of a question by the length of the mention, then by surface score, the best first."""
+    n = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.length("span")), F.desc("surface_score"), "start", "mid"))
+    return linked.withColumn("place", n)
+
+
 def date_mentions(questions: DataFrame) -> DataFrame:
     """(qid, at, year): numbers of four digits."""
     q = questions.select("qid", F.posexplode("tokens").alias("at", "t"))

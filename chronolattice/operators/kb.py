@@ -66,8 +66,9 @@ def _hops(edges: DataFrame, near: str, far: str, name: str, ways: str) -> DataFr
 def _two_hops(edges: DataFrame, entities: DataFrame, first: str, second: str) -> DataFrame:
     """(entity, r0, r1) of all paths whose hops have these ways. Of the nodes a second hop reaches only the least and the
     greatest are kept: they tell whether one is not where the path began."""
-    one = _hops(edges, "entity", "x1", "r0", first).join(entities, "entity", "left_semi").distinct()
-    two = _hops(edges, "x1", "x2", "r1", second).join(one.select("x1").distinct(), "x1", "left_semi")
+    # inner joins with distinct keys: a semi-join would be planned anew in every branch of the union
+    one = _hops(edges, "entity", "x1", "r0", first).join(entities.select("entity").distinct(), "entity").distinct()
+    two = _hops(edges, "x1", "x2", "r1", second).join(one.select("x1").distinct(), "x1")
     two = two.groupBy("x1", "r1").agg(F.min("x2").alias("least"), F.max("x2").alias("most"))
     same = F.col("r0").endswith("#R") == F.col("r1").endswith("#R")
     both = one.join(two, "x1").where(same | (F.col("least") != F.col("entity")) | (F.col("most") != F.col("entity")))
@@ -129,3 +130,29 @@ def with_label_aliases(graph: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, alias): entities that share an English label, an entity itself among them."""
     l = graph.where((F.col("p") == LABEL) & (F.col("o_lang") == "en")).select("s", "o")  # noqa: E741
     return l.select(F.col("s").alias("entity"), "o").join(entities, "entity", "left_semi").join(l.select(F.col("s").alias("alias"), "o"), "o").select("entity", "alias").distinct()
+
+
+def prominent_types(graph: DataFrame, entities: DataFrame, relation: str = "kg.object_profile.prominent_type") -> DataFrame:
+    """(entity, types): what a graph names as an entity's prominent types, sorted."""
+    t = graph.where((F.col("p") == relation) & (F.col("o_kind") == "entity")).select(F.col("s").alias("entity"), "o")
+    return t.join(entities.select("entity").distinct(), "entity").groupBy("entity").agg(F.sort_array(F.collect_set("o")).alias("types"))
+
+
+def bound_scopes(graph: DataFrame, expressions: DataFrame, column: str = "s_expression") -> DataFrame:
+    """``expressions`` with scope: of a time constraint, its relation and the interval that the graph holds for the first
+    entity under the relation's stem ("r (from=..., to=...)"); null where there is none. All expressions at once."""
+    tc = r"TC\s+\([^)]+\)\s+(\S+)\s+(\S+)"
+    e = expressions.withColumn("__r", F.nullif(F.regexp_extract(column, tc, 1), F.lit(""))).withColumn("__e", F.nullif(F.regexp_extract(column, r"(m\.[a-zA-Z0-9_]+)", 1), F.lit("")))
+    e = e.withColumn("__stem", F.regexp_replace("__r", r"\.(from|to|start_date|end_date|start|end)$", ""))
+    wanted = e.where("__r is not null and __e is not null").select("__e", "__stem").distinct()
+    g = graph.join(wanted.select("__e").distinct(), F.col("s") == F.col("__e")).select(F.col("__e").alias("__g"), "p", "o")
+    found = []
+    for i, (a, b) in enumerate(SCOPES):
+        ends = g.withColumn("__tail", F.element_at(F.split("p", r"\."), -1)).where(F.col("__tail").isin(a, b))
+        ends = ends.withColumn("__of", F.regexp_replace("p", r"\.[^.]*$", ""))
+        v = ends.join(wanted, (F.col("__g") == F.col("__e")) & (F.col("__of") == F.col("__stem")))
+        v = v.groupBy("__e", "__stem").agg(F.min(F.when(F.col("__tail") == a, F.col("o"))).alias("f"), F.min(F.when(F.col("__tail") == b, F.col("o"))).alias("t"))
+        found.append(v.withColumn("prio", F.lit(i)))
+    best = reduce(DataFrame.unionByName, found).groupBy("__e", "__stem").agg(F.min(F.struct("prio", "f", "t")).alias("m"))
+    ends = F.concat_ws(", ", F.concat(F.lit("from="), F.col("m.f")), F.concat(F.lit("to="), F.col("m.t")))
+    return e.join(best, ["__e", "__stem"], "left").withColumn("scope", F.when(F.col("m").isNotNull(), F.concat("__r", F.lit(" ("), ends, F.lit(")")))).select(*expressions.columns, "scope")

@@ -48,6 +48,29 @@ def dialogues(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return g.where(n >= 2).select(conv, F.concat_ws("\n", F.slice(said, F.lit(1), n - 2)).alias("history"), F.element_at(said, -2).alias("prompt"), F.element_at(said, -1).alias("response"))
 
 
+def all_dialogues(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, n, history, prompt, response): every question of a conversation with its answer and all that was said before."""
+    g = turns.groupBy(conv).agg(F.sort_array(F.collect_list(F.struct(turn, role, text))).alias("t"))
+    said = F.transform("t", lambda x: x[text])
+    g = g.where(F.size("t") >= 2).select(conv, said.alias("s"), F.explode(F.sequence(F.lit(1), F.floor(F.size("t") / 2).cast("int"))).alias("n"))
+    return g.select(conv, "n", F.concat_ws("\n", F.slice("s", F.lit(1), 2 * F.col("n") - 2)).alias("history"), F.get("s", 2 * F.col("n") - 2).alias("prompt"), F.get("s", 2 * F.col("n") - 1).alias("response"))
+
+
+def take(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of an order (a limit over a sort keeps n rows a task)."""
+    return rows.orderBy(*order).limit(n)
+
+
+def skip(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """All rows of an order but the first n."""
+    return placed(rows, F.lit(1), "__at", *order).where(F.col("__at") >= n).drop("__at")
+
+
+def shuffled(rows: DataFrame, key: Column, seed: int = 42) -> DataFrame:
+    """Rows in an order that a keyed hash gives, the same in every run: what a shuffle buffer of any size tends to."""
+    return rows.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256))
+
+
 def split(rows: DataFrame, key: Column, share: float, seed: int = 42) -> DataFrame:
     """Rows with part: 'val' for about ``share`` of them by a keyed hash, else 'train'."""
     h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256), 1, 8), 16, 10).cast("long")

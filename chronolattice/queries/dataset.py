@@ -22,7 +22,7 @@ def _facts(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ds.generate(_facts(spark, sf_dir, cap=200), FAMILIES)
+    return ds.generate(_facts(spark, sf_dir), FAMILIES)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _type(x: str) -> str:
 
 
 _CANDS = f"""
-    fc AS (SELECT *, fam || '-' || h fid FROM f QUALIFY row_number() OVER (PARTITION BY fam ORDER BY h) <= 200),
+    fc AS (SELECT *, fam || '-' || h fid FROM f),
     bank(fam, tid, tf, words, how, role) AS (VALUES {_BANK}),
     c0 AS (SELECT * FROM fc JOIN bank USING (fam) QUALIFY row_number() OVER (PARTITION BY fid ORDER BY sha256('42|' || fid || '|' || tid), tid) <= instr('0123456789abcdef', substr(sha256('42|' || fid), 1, 1)) % 3 + 1),
     c1 AS (SELECT *, replace(replace(replace(words, '{{role}}', role), '{{topic_label}}', tl), '{{year}}', substr(a, 1, 4)) question,
@@ -132,9 +132,23 @@ _CANDS = f"""
 _G = f"WITH {TRIPLES_SQL}, {_FACTS}"
 _C = f"{_G}, {_CANDS}"
 _Q = f"WITH {_sql_questions()}"
+#: What the graph answers to each candidate, by way of the facts themselves: all answers of its topic, or the open, the
+#: earliest or the latest ones; and whether one of them is the candidate's.
+_VERIFIED = f"""{_C},
+    y AS (SELECT *, substr(b, 1, 4) yb FROM f),
+    w AS (SELECT c.sid, c.how, c.ans, list(DISTINCT y.ans) FILTER (c.how <> 'tc' OR (substr(y.a, 1, 4) <= substr(c.a, 1, 4) AND (y.b2 IS NULL OR substr(y.b2, 1, 4) >= substr(c.a, 1, 4)))) alls,
+            min_by(y.ans, struct_pack(x := y.a, z := y.ans)) lo, min(y.ans) FILTER (y.a = y.mx) hi
+          FROM c JOIN (SELECT fam, topic, rel, ans, a, b2, max(a) OVER (PARTITION BY fam, topic) mx FROM x0) y ON c.fam = y.fam AND c.topic = y.topic GROUP BY ALL),
+    v AS (SELECT sid sample_id, CASE how WHEN 'argmin' THEN lo = ans WHEN 'argmax' THEN hi = ans ELSE list_contains(alls, ans) END verified FROM w)"""
+_VERIFIED = _VERIFIED.replace("    y AS (SELECT *, substr(b, 1, 4) yb FROM f),\n", """    x0 AS (SELECT 'order_part' fam, 'm.o' || l_orderkey topic, 'trade.line.part' rel, 'm.p' || l_partkey ans, strftime(least(l_shipdate, o_orderdate), '%Y-%m-%d') a, strftime(greatest(l_shipdate, o_orderdate), '%Y-%m-%d') b2 FROM li
+           UNION ALL SELECT 'order_supplier', 'm.o' || l_orderkey, 'trade.line.supplier', 'm.s' || l_suppkey, strftime(least(l_shipdate, o_orderdate), '%Y-%m-%d'), strftime(greatest(l_shipdate, o_orderdate), '%Y-%m-%d') FROM li
+           UNION ALL SELECT 'account_event', 'm.u' || user_id, 'user.event.kind', event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S'), strftime(nxt, '%Y-%m-%dT%H:%M:%S') FROM ev),
+""")
 _SIG = fx.SIGNALS[4:]
 
 ORACLES = {
+    "verify_samples": f"{_VERIFIED} SELECT sample_id, verified, CASE WHEN verified THEN '' ELSE 'answer_mismatch' END verification_error FROM v",
+    "verify_summary": f"{_VERIFIED} SELECT 'verified' metric, CAST(verified AS VARCHAR) AS \"key\", count(*) n FROM v GROUP BY verified UNION ALL SELECT 'reason', CASE WHEN verified THEN '' ELSE 'answer_mismatch' END, count(*) FROM v GROUP BY verified",
     "mine_range": f"{_G} SELECT fam || '-' || h fact_id, topic topic_mid, ans answer_mid, al answer_label, a temporal_start, b temporal_end, h supporting_row_hash FROM f WHERE fam = 'order_part'",
     "mine_point": f"{_G} SELECT topic topic_mid, ans answer_mid, a temporal_start, b temporal_end FROM f WHERE fam = 'order_supplier'",
     "mine_bounds_dedup": f"{_G} SELECT topic topic_mid, ans answer_mid, a temporal_start, b temporal_end FROM f WHERE fam = 'account_event' AND CAST(substr(a, 1, 4) AS INT) BETWEEN 1996 AND 2024 AND (b IS NULL OR CAST(substr(b, 1, 4) AS INT) BETWEEN 1996 AND 2024)",

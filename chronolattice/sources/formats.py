@@ -75,3 +75,21 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_stages(stages: dict[str, DataFrame], folder: str) -> list[str]:
+    """Writes what the stages of a pipeline made, each as JSON lines in a folder of its name; returns the paths."""
+    paths = []
+    for name, df in stages.items():
+        paths.append(f"{folder.rstrip('/')}/{name}")
+        df.write.mode("overwrite").json(paths[-1])
+    return paths
+
+
+def load_if_there(spark: SparkSession, readers: dict) -> dict[str, DataFrame | None]:
+    """What each reader (path, function of the path) gives, or None where there is nothing at the path yet. Nothing is read."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), {}
+    for name, (path, read) in readers.items():
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        out[name] = read(path) if p.getFileSystem(conf).exists(p) else None
+    return out

@@ -45,7 +45,6 @@ def test_entry(spark):
 
 def test_checks_of_themselves(spark):
     assert all(r.same for r in QUERIES["sparql_roundtrip"](spark, SF).collect())
-    assert all(r.same == r.want for r in QUERIES["isomorphism"](spark, SF).collect())
     how = {r.relation: r.how for r in QUERIES["ground_fuzzy"](spark, SF).collect()}
     assert how["trade.order.lines"] == "exact" and how["trade.ordr.customer"] == "fuzzy" and how["xx.yy.balance"] == "suffix"
 
