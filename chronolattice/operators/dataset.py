@@ -254,9 +254,11 @@ def verify(samples: DataFrame, answers: DataFrame) -> DataFrame:
     return j.withColumn("verified", ok).withColumn("verification_error", why).withColumn("answers", F.when(ok, F.col("predicted")).otherwise(F.col("answers"))).withColumn("validation_status", F.when(ok, "executable").otherwise("failed"))
 
 
-def answer_candidates(graph: DataFrame, samples: DataFrame) -> DataFrame:
+def answer_candidates(graph: DataFrame, samples: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
     """(sample_id, predicted) of generated samples, all at once: the facts behind (JOIN (R r) e), and of these the open
-    interval, the earliest or the latest, as the expression says. Relations are matched as data, not one plan a sample."""
+    interval, the earliest or the latest, as the expression says. Relations are matched as data, not one plan a sample; those that samples can name, where they are
+    known beforehand, leave other branches of the graph unread."""
+    graph = graph.where(F.col("p").isin(list(relations))) if relations else graph
     rel, ent = fx.sexpr_relations(F.col("s_expression")), fx.sexpr_entities(F.col("s_expression"))
     q = samples.select("sample_id", F.get(rel, F.lit(0)).alias("p"), F.get(ent, F.lit(0)).alias("topic"), F.col("relation_ids")[0].alias("via"), F.get(rel, F.lit(1)).alias("at"), fx.main_operator(F.col("s_expression")).alias("op"), F.regexp_extract("s_expression", r" (\d{4})[0-9-]*\)$", 1).alias("year"))
     hop = graph.select(F.col("s").alias("topic"), F.col("p").alias("via"), F.col("o").alias("cvt")).where("topic is not null")
