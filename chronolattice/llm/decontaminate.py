@@ -9,8 +9,10 @@ the least edit distance of the whole item to any substring there.
 Benchmarks are read in blocks of at most ``block_chars`` characters, each broadcast (that is its bound) and matched against
 all documents, so an automaton never outgrows an executor.
 
-Defined results: null or blank items and texts match nothing; items shorter than ``least`` characters are matched exactly;
-repeated rows each give their rows; other columns are passed over; an empty table gives an empty result.
+Defined results: null or blank items and texts match nothing; items shorter than ``least`` characters are matched exactly and
+as whole words (letters and digits do not go on at either end), and one of a single word, which ordinary language holds too,
+is reported but drops no document; a null item_id stays null; of equal distances the first place counts; repeated rows
+each give their rows; other columns are passed over; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,13 +79,13 @@ def masks_of(item: str) -> dict[str, int]:
 class Matcher:
     """Items ready to be found."""
 
-    def __init__(self, items: list[tuple[int, str]], errors: float, least: int):
+    def __init__(self, items: list[tuple[int | None, str]], errors: float, least: int, single: bool = True):
         import ahocorasick
 
-        self.items, self.auto, found = [], ahocorasick.Automaton(), {}
+        self.items, self.auto, found, self.least = [], ahocorasick.Automaton(), {}, least
         for number, raw in items:
             item = normalise(raw)
-            if not item:
+            if not item or not (single or " " in item or len(item) >= least):
                 continue
             k = budget(len(item), errors, least)
             self.items.append((number, item, k, masks_of(item)))
@@ -109,6 +111,11 @@ class Matcher:
             number, item, k, masks = self.items[i]
             best, n = None, len(item)
             lo = hi = None
+            if not k:  # found whole: the first place where no word goes on
+                at = next((b for b in sorted(set(begins)) if n >= self.least or not (b and text[b - 1].isalnum() and item[0].isalnum()) and not (text[b + n : b + n + 1].isalnum() and item[-1].isalnum())), None)
+                if at is not None:
+                    yield number, 0, 0, at, at + n
+                continue
             for b in [*sorted(begins), None]:
                 if lo is not None and (b is None or b - k > hi):
                     got = myers(item, masks, text[max(0, lo) : hi], k)
@@ -132,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", d
 
     def against(block: int) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast(sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in part.collect()))
+        shared = spark.sparkContext.broadcast(sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, errors, least)
@@ -157,10 +164,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
     at = docs.columns.index(text)
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = docs.sparkSession.sparkContext.broadcast(sorted((r["i"] if r["i"] is not None else -1, r["t"]) for r in part.collect()))
+        shared = docs.sparkSession.sparkContext.broadcast(sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, errors, least)
+            matcher = Matcher(shared.value, errors, least, single=False)
             for batch in batches:
                 clean = [next(matcher.matches(normalise(t.as_py())), None) is None for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))

@@ -290,6 +290,65 @@ def test_wrapped_licenses(spark):
     assert [r.license for r in sorted(rows, key=lambda r: r.block) if r.doc_id == 5] == [None, "MIT", "MIT"]
 
 
+def test_announcements(spark):
+    lines = {
+        "This code comes under the MIT licence.": None, "Licensed under the MIT licence.": "MIT", "License: GPLv3": "GPL-3.0", "Released under BSD-3-Clause license": "BSD-3-Clause", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "Licensed by Foo under the MIT License.": "MIT", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC 3.0.": None, "Licensed under the Apache License, Version 1.1.": None,
+        "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "": None, "a licence to print money": None,
+    }
+    rows = scan_licenses(spark.createDataFrame([*enumerate(lines), (None, "License: MIT"), (None, None)], "doc_id long, text string")).collect()
+    got = {r.doc_id: r.license for r in rows if r.license}
+    assert got == {**{i: v for i, v in enumerate(lines.values()) if v}, None: "MIT"}
+
+
+def test_every_template_announces_itself(spark):
+    from chronolattice.llm.license_scan import Scanner
+
+    scanner, all_ = Scanner(), [(k, t) for k, ts in TEMPLATES.items() for t in ts]
+    for name, t in all_:  # against a plain search for each wording
+        plain = {k for k, u in all_ if u.lower() in t.lower()}
+        assert name in {x[0] for _, _, found in scanner.scan(f"First line.\n{t}\nLast line.") for x in found} >= plain
+
+
+def test_distance_against_brute_force():
+    from chronolattice.llm.decontaminate import Matcher, budget, normalise
+
+    def least(item, text):  # the table of all distances of the item to substrings
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    rng = np.random.default_rng(7)
+    items = ["".join(rng.choice(list("ab c"), n)) for n in rng.integers(10, 60, 60)]
+    texts = []
+    for item in items:
+        t = list(item)
+        for _ in range(rng.integers(0, 4)):
+            p = rng.integers(0, len(t))
+            t[p : p + rng.integers(0, 2)] = rng.choice(list("abcx"), rng.integers(0, 2))
+        texts.append("".join(rng.choice(list("ab c"), rng.integers(0, 30))) + "".join(t) + "".join(rng.choice(list("xyz "), rng.integers(0, 30))))
+    matcher = Matcher(list(enumerate(items)), 0.1, 12)
+    for text in map(normalise, texts):
+        got = {number: distance for number, distance, *_ in matcher.matches(text)}
+        for number, raw in enumerate(items):
+            item = normalise(raw)
+            k = budget(len(item), 0.1, 12)
+            d = least(item, text) if item else 1 << 30
+            if len(item) >= 12:
+                assert got.get(number) == (d if d <= k else None), (item, text)
+
+
+def test_short_and_nameless_items(spark):
+    docs = spark.createDataFrame([(1, "cats and a dog"), (2, "scatter"), (3, "nothing here"), (4, "good dogs")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "cats and"), (7, "a"), (8, "dog")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()} == {(1, None), (1, 7), (1, 8)}
+    assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {2, 3, 4}
+
+
 @pytest.mark.parametrize("cells", [4_000_000, 1])
 def test_tokens(spark, docs, nothing, tmp_path, monkeypatch, cells):
     from tokenizers import Tokenizer
