@@ -36,19 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolattice.llm.cluster import release, scratch, written
+from chronolattice.llm.cluster import ARROW_ROWS, release, scratch, written
 from chronolattice.llm.contexts import batch_of
 from chronolattice.llm.substring_dedup import LAST, row_keys
 
 BLOCK, MAGIC = 8192, b"CMR2"
 #: Blocks of a frame at most, and lanes times ids in use at most: they bound memory, whatever the input.
-LANES, CELLS = 768, 4_000_000
+LANES, CELLS = 384, 2_000_000
 I = np.int64  # noqa: E741
 U = np.uint64
 PRIOR, GAIN = 1 << 17, 32  # weight of the frame's counts in order 0, and of an id seen in the block
 CONTEXTS = 13  # log2 of the order-2 table
 LOW32 = (1 << 32) - 1
-SLOTS = 14  # log2 of the slots through which a decoder enters order 0
+SLOTS = 12  # log2 of the slots through which a decoder enters order 0
 #: Steps at which a block's own ids join order 0.
 RECOUNT = tuple([256, *range(1024, BLOCK, 1024)])
 
@@ -119,6 +119,13 @@ class Mixer:
         self.prev2, self.prev1 = self.prev1, x
 
 
+def _counts(ids: np.ndarray, vocab: int) -> np.ndarray:
+    out = np.zeros(vocab, I)
+    for a in range(0, len(ids), 1 << 17):
+        out += np.bincount(ids[a : a + (1 << 17)], minlength=vocab)
+    return out
+
+
 def _weights(count: np.ndarray) -> np.ndarray:
     """Counts scaled to the sum PRIOR, 1 at least."""
     w = np.maximum(1, count * (PRIOR - len(count)) // int(count.sum()))
@@ -135,7 +142,7 @@ def encode_frames(ids: np.ndarray, vocab: int) -> list[tuple[int, bytes]]:
     out, at = [], 0
     while at < len(ids):
         part = ids[at : at + LANES * BLOCK]
-        kinds = int(np.count_nonzero(np.bincount(part, minlength=vocab)))
+        kinds = int(np.count_nonzero(_counts(part, vocab)))
         part = part[: max(1, CELLS // kinds) * BLOCK]
         out.append((len(part), _encode(part, vocab)))
         at += len(part)
@@ -143,20 +150,21 @@ def encode_frames(ids: np.ndarray, vocab: int) -> list[tuple[int, bytes]]:
 
 
 def _encode(ids: np.ndarray, vocab: int) -> bytes:
-    count = np.bincount(ids, minlength=vocab)
+    count = _counts(ids, vocab)
     used = np.flatnonzero(count)
     weights = _weights(count[used])
     place = np.zeros(vocab, np.int32)
     place[used] = np.arange(len(used))
     n, steps = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
     # zeros pad the last block; the words that only they need are left out
-    x = np.zeros(n * steps, np.int32)
-    x[: len(ids)] = place[ids]
-    x = np.ascontiguousarray(x.reshape(n, steps).T)
+    x = np.zeros((steps, n), np.int32)
+    for j in range(n):
+        own = ids[j * steps : (j + 1) * steps]
+        x[: len(own), j] = place[own]
     m = Mixer(n, weights, x)
     low, rng = np.zeros(n, I), np.full(n, (1 << 48) - 1, I)
     # code words as they come, with a carry to the word before in bit 16
-    width = steps * 5 // 8 + 1024
+    width = steps * 9 // 16 + 1024
     words, pos = np.zeros((n, width), np.uint32), np.zeros(n, I)
     flat, begin = words.ravel(), np.arange(n, dtype=I) * width
 
@@ -291,7 +299,7 @@ class Words:
     are its words' ids in a row (tried on PROBES); else of whole texts. Words stay known until two generations of
     ``most`` new ones have come."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 100_000):
         # a task has one core; threads of the library's own cost more than they gain on words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -357,7 +365,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2,
             """The frames of all that is held. Only a document that is long or stands where CELLS ends a frame has
             pieces in several."""
             nonlocal frames, first, parts, pieces, held
-            ids, table = np.frombuffer(b"".join(parts), "<u4").astype(np.int32), np.concatenate(pieces)
+            ids, table = np.frombuffer(b"".join(parts), "<i4"), np.concatenate(pieces)
             parts, pieces, held = [], [], 0
             coded = encode_frames(ids, words.vocab)
             ends, stops = np.cumsum(table["all"].astype(I)), np.cumsum([c for c, _ in coded])
@@ -388,7 +396,13 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2,
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, FRAME).write.option("compression", "none").parquet(path)
+    # batches of texts come through the executor's memory and the worker's: small ones cost nothing here
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, "1000")
+    try:
+        ordered.mapInArrow(run, FRAME).write.option("compression", "none").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
