@@ -135,3 +135,32 @@ def test_stream(spark, tmp_path):
 
 def test_report(spark):
     assert "| a | 1 |" in ev.report(spark.createDataFrame([("a", 1)], "key string, n int"), "T")
+
+
+def test_places_and_packs(spark):
+    from chronolattice.operators import training as tr
+    from chronolattice.sources.storage import placed
+
+    rows = spark.createDataFrame([(i, list(range(i * 10, i * 10 + i % 4))) for i in range(200)], "k int, ids array<int>").repartition(7)
+    flat = [x for i in range(200) for x in range(i * 10, i * 10 + i % 4)]
+    at = {r.k: r.at for r in placed(rows, F.size("ids"), "at", F.col("k")).collect()}
+    assert at == {i: sum(j % 4 for j in range(i)) for i in range(200)}
+    for n in (1, 2, 7, 64):
+        got = {r.block: list(r.ids) for r in tr.pack(rows, n, F.col("k")).collect()}
+        assert got == {b: flat[b * n : b * n + n] for b in range(len(flat) // n)}
+
+
+def test_files_of_stages(spark, tmp_path):
+    from chronolattice.sources.formats import load_if_there, write_stages
+
+    paths = write_stages({"facts": spark.range(3), "failed": spark.range(0)}, str(tmp_path))
+    got = load_if_there(spark, {"facts": (paths[0], spark.read.json), "none": (str(tmp_path / "none"), spark.read.json)})
+    assert got["facts"].count() == 3 and got["none"] is None
+
+
+def test_many_spans(spark):
+    from chronolattice.operators.grounding import maximal_sets
+
+    linked = spark.createDataFrame([(1, i, i + 1) for i in range(40)] + [(1, 0, 40), (2, 0, 2), (2, 1, 3), (2, 2, 4), (2, 5, 6)], "qid int, start int, end int")
+    got = sorted((r.qid, r.spans) for r in maximal_sets(linked).collect())
+    assert got == sorted([(1, " ".join(f"{i}-{i + 1}" for i in range(40))), (1, "0-40"), (2, "0-2 2-4 5-6"), (2, "1-3 5-6")])
