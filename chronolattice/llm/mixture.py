@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolattice.llm.cluster import written
+from chronolattice.llm.cluster import partitions, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks of all sources at most (numpy draws from fewer than 10**9), and buckets or blocks of a range.
@@ -197,9 +197,11 @@ def mix_sources(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     return _taken(docs, text, doc_id, source, seed, more).withColumnRenamed("__mix", "mix")
 
 
-def mixed_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", shards: int = 16, seed: int = 7, **more) -> DataFrame:
-    """The mix as documents: a row for every time one is taken, dealt into shards and shuffled inside each. A source's
-    last part pass ends inside one document at most; that row's text is cut after the words it gives."""
+def mixed_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", shards: int | None = None, seed: int = 7, **more) -> DataFrame:
+    """The mix as documents: a row for every time one is taken, dealt into shards (as many as shuffles have partitions, so
+    that one fits a task) and shuffled inside each. A source's last part pass ends inside one document at most; that
+    row's text is cut after the words it gives."""
+    shards = shards or partitions(docs.sparkSession)
     rows = _taken(docs, text, doc_id, source, seed, more | {"shards": shards})
     given = F.when(F.col("__mix.words") < F.col("__mix.size"), _first_words(F.col(text), F.col("__mix.words"))).otherwise(F.col(text))
     return rows.withColumn(text, given).repartition(shards, F.col("__mix.shard")).sortWithinPartitions("__mix.shard", "__mix.slot").drop("__mix")
