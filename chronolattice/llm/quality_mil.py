@@ -215,6 +215,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = 1500) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; they are scored where they are read."""
+    """``docs``, all its columns, without the rows that the classifier rejects; they are scored where they are read."""
     model = train(docs, labels, text=text, doc_id=doc_id, label=label, sample=sample)
-    return score(docs, model, text=text, keep=tuple(docs.columns)).where("score >= 0.5").drop("score", "n_passages", "top_passage")
+    # columns go by number meanwhile, so that none of theirs meets one of the score's
+    held = [f"__c{i}" for i in range(len(docs.columns))]
+    rows = score(docs.toDF(*held), model, text=held[docs.columns.index(text)], keep=tuple(held))
+    return rows.where("score >= 0.5").select(*held).toDF(*docs.columns)

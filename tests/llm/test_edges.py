@@ -224,7 +224,7 @@ def test_classifier(docs, labels, nothing):
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 3 == 1) for r in rows)
     assert {r.score for r in classify_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert classify_quality(nothing, labels).count() == 0 and keep_good(nothing, labels).count() == 0
-    assert set(keep_good(docs, labels).columns) == set(docs.columns) - {"score"}
+    assert keep_good(docs, labels).columns == docs.columns
 
 
 def test_benchmark(spark, docs, nothing):
