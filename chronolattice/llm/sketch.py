@@ -13,7 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLICES = 64
+from chronolattice.llm.cluster import partitions, written
+
+#: Many, so that however many tasks merge them, each is dealt few and reads little.
+SLICES = 4096
 
 
 def cells(name: np.ndarray, bits: int) -> np.ndarray:
@@ -28,8 +31,10 @@ def parts(found: np.ndarray, bits: int) -> pa.RecordBatch | None:
     shift = bits - SLICES.bit_length() + 1
     edge = np.searchsorted(found, np.arange(SLICES + 1, dtype=np.uint64) << np.uint64(shift))
     low = (found & np.uint32((1 << shift) - 1)).astype(np.uint32)
-    rows = [(i, low[edge[i] : edge[i + 1]].tobytes()) for i in range(SLICES) if edge[i] < edge[i + 1]]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "cells"])
+    some = np.flatnonzero(np.diff(edge))
+    ends = (np.concatenate((edge[some], edge[-1:])) * 4).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(low.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), lists], ["slice", "cells"])
 
 
 def merge(rows: DataFrame, bits: int, most: int) -> DataFrame:
@@ -60,14 +65,15 @@ def merge(rows: DataFrame, bits: int, most: int) -> DataFrame:
         if now is not None:
             yield out()
 
-    return rows.repartition(min(SLICES, max(2, rows.sparkSession.sparkContext.defaultParallelism)), "slice").sortWithinPartitions("slice").mapInArrow(run, "slice int, counts binary")
+    return rows.repartition(min(SLICES, partitions(rows.sparkSession)), "slice").sortWithinPartitions("slice").mapInArrow(run, "slice int, counts binary")
 
 
 def table(merged: DataFrame, bits: int, most: int) -> bytes:
-    """The whole sketch on the driver: 2**bits bytes, or a quarter of it, whatever the data."""
+    """The whole sketch on the driver: 2**bits bytes, or a quarter of it, whatever the data. It is written first, so that all
+    slices merge at once and not one partition after another."""
     per = (1 << bits) // SLICES // (4 if most == 3 else 1)
     out = bytearray(per * SLICES)
-    for r in merged.toLocalIterator():
+    for r in written(merged, "sketch").toLocalIterator():
         out[r["slice"] * per : (r["slice"] + 1) * per] = bytes(r["counts"])
     return bytes(out)
 
