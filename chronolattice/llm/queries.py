@@ -17,6 +17,7 @@ from chronolattice.llm.quality_mil import classify_quality
 from chronolattice.llm.substring_dedup import dedup_substrings
 from chronolattice.llm.suffix_dedup import dedup_bytes
 from chronolattice.llm.token_coder import encode_documents
+from chronolattice.llm.whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.concat_ws(",", "shards").alias("shards"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it is no long."""
+    return whiten(_read(spark, sf_dir, "embeddings"), most=32).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_coder": op1_token_coder,
     "op2_html_extract": op2_html_extract,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
+    "op11_whitening": op11_whitening,
 }
 
 _W = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
