@@ -14,6 +14,7 @@ from chronolattice.llm.license_scan import scan_licenses
 from chronolattice.llm.mixture import mix_takes
 from chronolattice.llm.outliers import quality_rules
 from chronolattice.llm.quality_mil import classify_quality
+from chronolattice.llm.spelling import spelling_variants
 from chronolattice.llm.substring_dedup import dedup_substrings
 from chronolattice.llm.suffix_dedup import dedup_bytes
 from chronolattice.llm.token_coder import encode_documents
@@ -81,6 +82,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_read(spark, sf_dir, "embeddings"), most=32).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"), times=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_coder": op1_token_coder,
     "op2_html_extract": op2_html_extract,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
     "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 _W = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
