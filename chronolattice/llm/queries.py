@@ -13,6 +13,7 @@ from chronolattice.llm.jaccard_join import jaccard_join
 from chronolattice.llm.license_scan import scan_licenses
 from chronolattice.llm.mixture import mix_takes
 from chronolattice.llm.outliers import quality_rules
+from chronolattice.llm.projection_forest import near_embeddings
 from chronolattice.llm.quality_mil import classify_quality
 from chronolattice.llm.spelling import spelling_variants
 from chronolattice.llm.substring_dedup import dedup_substrings
@@ -86,6 +87,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_read(spark, sf_dir, "documents"), times=10)
 
 
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(_read(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_coder": op1_token_coder,
     "op2_html_extract": op2_html_extract,
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
     "op11_whitening": op11_whitening,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_projection_forest": op13_projection_forest,
 }
 
 _W = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"

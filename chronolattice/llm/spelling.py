@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from chronolattice.llm.cluster import partitions, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of a block that are compared at once; larger blocks are cut.
-LARGE = 128
 #: Letters of pairs that are held at once.
 LETTERS = 1 << 22
 ROWS = "word string, n long, length int, long boolean, lo int, hi int"
@@ -66,13 +64,13 @@ def _key() -> Column:
     return F.concat(F.expr("left(word, lo)"), F.lit(" "), after, F.lit(" "), "length", F.lit(" "), "lo")
 
 
-def _crowded(rows: DataFrame) -> list[str]:
+def _crowded(rows: DataFrame, large: int) -> list[str]:
     """The keys that hold more than one in ``most`` rows: at most that many, found by counts over buckets, then over the keys of
     the few buckets that can hold one."""
     most = max(256, partitions(rows.sparkSession))
     bucket = F.pmod(F.xxhash64("key"), F.lit(16 * most))
     counts = rows.groupBy(bucket.alias("b")).count().collect()  # as many rows as buckets at most
-    bar = max(LARGE, sum(r["count"] for r in counts) // most)
+    bar = max(large, sum(r["count"] for r in counts) // most)
     full = [r["b"] for r in counts if r["count"] > bar]
     if not full:
         return []
@@ -130,12 +128,12 @@ def _scan(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"kind": 0, "word": word[a], "n": n[a], "length": length, "long": False, "lo": 0, "hi": 0, "other": word[b], "other_n": n[b]})
 
 
-def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walks a sorted range of the dictionary: pairs (kind 0) of blocks of at most ``LARGE`` rows or that cannot be cut, and the
+def _scanned(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Walks a sorted range of the dictionary: pairs (kind 0) of blocks of at most ``most`` rows or that cannot be cut, and the
     rows of the others (kind 1). A large block passes by; only its first rows are held until it has proved large."""
     def closed(done: pd.DataFrame) -> Iterator[pd.DataFrame]:
         size = done.groupby("block")["block"].transform("size").to_numpy()
-        cut = (size > LARGE) & ((done["hi"] - done["lo"]).to_numpy() > 1)
+        cut = (size > most) & ((done["hi"] - done["lo"]).to_numpy() > 1)
         if cut.any():
             yield passed(done[cut])
         yield from _scan(done[~cut])
@@ -165,7 +163,7 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out in closed(rows[~open_]):
             yield out[order]
         held = rows[open_]
-        if len(held) > LARGE and held["hi"].iloc[0] - held["lo"].iloc[0] > 1:
+        if len(held) > most and held["hi"].iloc[0] - held["lo"].iloc[0] > 1:
             yield passed(held)[order]
             held, large = None, rows["key"].iloc[-1]
         else:
@@ -175,16 +173,17 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out[order]
 
 
-def near_pairs(dictionary: DataFrame) -> DataFrame:
-    """(word, n, other, other_n) for words (word, n), each once, that are one edit apart: each pair in both directions."""
+def near_pairs(dictionary: DataFrame, large: int = 128) -> DataFrame:
+    """(word, n, other, other_n) for words (word, n) of letters in Latin-1, each once, that are one edit apart: each pair in both
+    directions. Blocks of more than ``large`` rows are cut."""
     whole = [F.struct(F.length("word").alias("length"), F.lit(False).alias("long")), F.struct((F.length("word") - 1).alias("length"), F.lit(True).alias("long"))]
     rows = dictionary.select("word", "n", F.explode(F.array(*whole)).alias("r")).select("word", "n", "r.length", "r.long", F.lit(0).alias("lo"), F.col("r.length").alias("hi"))
     rows, pairs = rows.where("length > 0"), None
     while True:
         keyed = _halved(rows).withColumn("key", _key())
-        crowded = _crowded(keyed)
+        crowded = _crowded(keyed, large)
         here = F.col("key").isin(crowded) & (F.col("hi") - F.col("lo") > 1) if crowded else F.lit(False)
-        dealt = keyed.where(~here).repartitionByRange("key").sortWithinPartitions("key").mapInPandas(_scanned, FOUND)
+        dealt = keyed.where(~here).repartitionByRange("key").sortWithinPartitions("key").mapInPandas(lambda b: _scanned(b, large), FOUND)
         if crowded:
             dealt = dealt.unionByName(keyed.where(here).drop("key").withColumns({"kind": F.lit(1), "other": F.lit(None).cast("string"), "other_n": F.lit(None).cast("long")}))
         found = written(dealt, "near")
@@ -209,11 +208,11 @@ def roots(forms: DataFrame) -> DataFrame:
     return way.select("word", "root")
 
 
-def spelling_variants(docs: DataFrame, *, times: int = 10, text: str = "text", doc_id: str = "doc_id", **dictionary) -> DataFrame:
+def spelling_variants(docs: DataFrame, *, times: int = 10, large: int = 128, text: str = "text", doc_id: str = "doc_id", **dictionary) -> DataFrame:
     """(word, form, root, n, n_near, form_n) for each word of the dictionary of ``docs`` (see ``words``). A word's form is its
     near word of the largest count, if that is ``times`` the word's own."""
     found = written(words(docs, text=text, doc_id=doc_id, **dictionary), "words")
-    best = near_pairs(found).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("other"))).alias("best"))
+    best = near_pairs(found, large).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("other"))).alias("best"))
     joined = written(found.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.less") >= times * F.col("n"), F.struct(F.col("best.other").alias("form"), (-F.col("best.less")).alias("form_n"))).alias("f")), "forms")
     last = roots(joined.where("f is not null").select("word", "f.form"))
     return joined.join(last, "word", "left").select("word", "f.form", F.coalesce("root", "word").alias("root"), "n", "n_near", "f.form_n")
