@@ -6,6 +6,7 @@ with its relation as a literal, so a filter on p leaves only the branches that c
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,13 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star schema and the events as triples. Line items and events are mediator nodes with a validity interval."""
+def triples(spark: SparkSession, sf_dir: str, only: Collection[str] | None = None) -> DataFrame:
+    """The star schema and the events as triples. Line items and events are mediator nodes with a validity interval. ``only``: the
+    relations to have, where they are known beforehand: a plan of a few branches is made sooner than one of all."""
     read = lambda n: table(spark, sf_dir, n)
     out = []
 
     def add(df, s, p, o, *rest):
-        out.append(_branch(df, s, p, o, *rest))
+        if only is None or p in only:
+            out.append(_branch(df, s, p, o, *rest))
 
     def described(df, s, cls, label=None):
         add(df, s, TYPE, F.lit(cls))
@@ -91,7 +94,12 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     add(events, e, "user.event.from", F.date_format("ts", SECOND), "literal", "dateTime")
     later = events.withColumn("next", F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts")))
     add(later, e, "user.event.to", F.date_format("next", SECOND), "literal", "dateTime")
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], SCHEMA)
+
+
+def named(graph: DataFrame | Callable[[Collection[str] | None], DataFrame], names: Collection[str]) -> DataFrame:
+    """The triples of the named relations, of a graph or of a function that makes one of given relations."""
+    return graph(names) if callable(graph) else graph.where(F.col("p").isin(list(names)))
 
 
 #: The same graph for DuckDB, as the body of a common table expression.
