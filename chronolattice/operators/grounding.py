@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolattice.functions import text as fx
+from chronolattice.sources.storage import kept
 
 
 def ground_exact(predicted: DataFrame, relations: DataFrame) -> DataFrame:
@@ -26,34 +30,86 @@ def _blocks(rows: DataFrame, key: str, each: int) -> tuple[DataFrame, int]:
     return rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n))), n
 
 
-def ground_fuzzy(predicted: DataFrame, relations: DataFrame, cutoff: float = 0.6, suffix_cutoff: float = 0.5, each: int = 10_000) -> DataFrame:
+class Paths:
+    """An index of paths by characters and length. The ratio of two texts is twice the characters matched over all
+    characters; no more can be matched than the two have in common, whatever their order, so that bounds the ratio."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+        self.length = np.array([len(p) for p in paths], np.int64)
+        self.at = {c: i for i, c in enumerate(sorted(set("".join(paths))))}
+        self.counts = np.zeros((len(paths), len(self.at)), np.int32)
+        self.ends: dict[str, list[int]] = {}
+        for i, p in enumerate(paths):
+            for c in p:
+                self.counts[i, self.at[c]] += 1
+            self.ends.setdefault(p.rsplit("/", 1)[-1], []).append(i)
+
+    def bounds(self, want: str, among: np.ndarray) -> np.ndarray:
+        own = np.zeros(len(self.at), np.int32)
+        for c in want:
+            if c in self.at:
+                own[self.at[c]] += 1
+        used = np.flatnonzero(own)  # only the characters that the text has
+        return 2.0 * np.minimum(self.counts[np.ix_(among, used)], own[used]).sum(1) / np.maximum(1, self.length[among] + len(want))
+
+    def best(self, want: str, among: np.ndarray, least: float) -> tuple[tuple[float, str] | None, int]:
+        """The most similar path (of equals the greatest) of at least ``least``, and how many were compared: those with the largest
+        bounds, until no bound reaches what was found."""
+        # shorter or longer texts cannot reach the ratio
+        n = self.length[among]
+        among = among[2.0 * np.minimum(n, len(want)) >= least * (n + len(want))]
+        bound = self.bounds(want, among)
+        found, tried = None, 0
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < (least if found is None else found[0]):
+                break
+            tried += 1
+            path = self.paths[among[i]]
+            score = SequenceMatcher(None, path, want).ratio()
+            if score >= least and (found is None or (score, path) > found):
+                found = score, path
+        return found, tried
+
+
+def most_similar(asked: DataFrame, relations: DataFrame, cutoff: float, suffix_cutoff: float, each: int) -> DataFrame:
+    """(relation, fuzzy, score, path, compared): each asked relation's most similar path, and the most similar of those with its last
+    part; ``compared`` counts exact ratios. The dictionary is a list of names, as long as a schema; ``each`` of them at most
+    go to all tasks at a time, a longer list in several passes over what is asked."""
+    parts = max(1, -(-relations.count() // each))
+    passes = []
+    for k in range(parts):
+        names = relations.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == k).select("path").distinct()
+        index = asked.sparkSession.sparkContext.broadcast(Paths(sorted(r["path"] for r in names.collect())))
+
+        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            ix = index.value
+            every = np.arange(len(ix.paths))
+            for b in batches:
+                out = []
+                for r in b["relation"]:
+                    want = "/" + r.strip("/").replace(".", "/")
+                    same = np.array(ix.ends.get(want.rsplit("/", 1)[-1], []), np.int64)
+                    for how, among, least in ((1, every, cutoff), (0, same, suffix_cutoff)):
+                        got, tried = ix.best(want, among, least)
+                        out.append((r, how, *(got or (None, None)), tried))
+                yield pd.DataFrame(out, columns=["relation", "fuzzy", "score", "path", "compared"])
+
+        passes.append(asked.select("relation").mapInPandas(run, "relation string, fuzzy int, score double, path string, compared long"))
+    return reduce(DataFrame.unionByName, passes)
+
+
+def ground_fuzzy(predicted: DataFrame, relations: DataFrame, cutoff: float = 0.6, suffix_cutoff: float = 0.5, each: int = 50_000) -> DataFrame:
     """(relation, rel, path, score, how): exact where possible, else the most similar path (Ratcliff-Obershelp ratio), else
-    the most similar of those that share the last part; of equals the greatest path. Distinct predictions are compared with
-    the whole dictionary, block by block."""
-    exact = ground_exact(predicted.select("relation").distinct(), relations)
-    dictionary, n = _blocks(relations.select("path", "rel"), "path", each)
-    packed = dictionary.groupBy("block").agg(F.collect_list("path").alias("paths"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher, get_close_matches
-
-        for b in batches:
-            out = []
-            for r, paths in zip(b.relation, b.paths, strict=True):
-                want = "/" + r.strip("/").replace(".", "/")
-                end = "/" + want.rsplit("/", 1)[-1]
-                for how, among, least in ((1, paths, cutoff), (0, [p for p in paths if p.endswith(end)], suffix_cutoff)):
-                    for p in get_close_matches(want, among, 1, least):
-                        out.append((r, how, SequenceMatcher(None, p, want).ratio(), p))
-            yield pd.DataFrame(out, columns=["relation", "fuzzy", "score", "path"])
-
-    rest = exact.where("rel is null").select("relation")
-    asked = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    best = asked.join(packed, "block").select("relation", "paths").mapInPandas(run, "relation string, fuzzy int, score double, path string")
-    best = best.groupBy("relation").agg(F.max(F.struct("fuzzy", "score", "path")).alias("b"))
-    near = best.select("relation", "b.*").join(relations.select("path", "rel"), "path").select("relation", F.col("rel").cast("long").alias("rel"), "path", "score", F.when(F.col("fuzzy") == 1, "fuzzy").otherwise("suffix").alias("how"))
-    found = exact.where("rel is not null").join(relations.select("rel", "path"), "rel").select("relation", F.col("rel").cast("long").alias("rel"), "path", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
-    return predicted.select("relation").join(found.unionByName(near), "relation", "left").withColumn("how", F.coalesce("how", F.lit("none")))
+    the most similar of those that share the last part; of equals the greatest path. Paths that cannot be the most similar
+    by what characters they have are not compared. Null relations ground to nothing."""
+    relations = kept(relations.select("path", "rel"))
+    exact = kept(ground_exact(predicted.select("relation").distinct(), relations))
+    near = most_similar(exact.where("rel is null and relation is not null").select("relation").repartition("relation"), relations, cutoff, suffix_cutoff, each)
+    best = near.where("path is not null").groupBy("relation").agg(F.max(F.struct("fuzzy", "score", "path")).alias("b"))
+    found = best.select("relation", "b.*").join(relations, "path").select("relation", F.col("rel").cast("long").alias("rel"), "path", "score", F.when(F.col("fuzzy") == 1, "fuzzy").otherwise("suffix").alias("how"))
+    known = exact.where("rel is not null").join(relations, "rel").select("relation", F.col("rel").cast("long").alias("rel"), "path", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
+    return predicted.select("relation").join(known.unionByName(found), "relation", "left").withColumn("how", F.coalesce("how", F.lit("none")))
 
 
 def ground_entities(predicted: DataFrame, entities: DataFrame) -> DataFrame:
