@@ -118,9 +118,10 @@ def parse(html: str) -> list[tuple[str, Node, int]]:
             count[node.name] -= 1
             node = node.parent
 
-    at, n = 0, len(html)
+    # past the last > there is no tag, so nothing that looks like the beginning of one is followed to the end of the page
+    at, n, last = 0, len(html), html.rfind(">")
     while at < n:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at) if at <= last or html.find("<!--", at) >= 0 else None
         if not m:
             say(html[at:])
             break

@@ -37,6 +37,17 @@ def test_cut_mends_the_classifier_on_unseen_pages():
     assert strength > 0 and cut < 0.7 * alone and cut < 0.02 * blocks
 
 
+def test_open_declarations_and_quotes():
+    """A megabyte of what never ends, with and without a last sign that ends it."""
+    for part in ("<!", "<?", "<a \"", "<a '", "<a b=\"'", "<!-", "<!--", "<", "</", "&", "<p <p", "<a \"<a'"):
+        for end in ("", ">", "<p>The end of the page, with some words.</p>"):
+            page = part * (1_000_000 // len(part)) + end
+            began = time.process_time()
+            extract(page)
+            assert time.process_time() - began < 1, (part, end)
+    assert extract("One < two, and <! is no tag, nor is <? one") == "One < two, and <! is no tag, nor is <? one"
+
+
 def test_slow_pages():
     for page in ("<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<p>x</p>" * 5_000, "<span>" * 20_000 + "<li>a" * 5_000, "</i>" * 20_000 + "<i>" * 20_000 + "x", "<p>Some words of text, again and again.</p>" * 10_000):
         began = time.process_time()
