@@ -1,15 +1,23 @@
 """License scans by conditional compression.
 
-A candidate block is a line with a cue word, joined with the lines around it that have one too, and grown over the lines of
-every template's wording that is found there: texts that are wrapped, or wrapped inside comments, are one block. Each template of a license
-is a zstandard raw dictionary: a block that repeats the template's wording compresses far better with it than
-without. Templates are ranked by the size reduction; each one is confirmed by its exact wording, wherever in the text it is:
-the template's words must stand there in order but for a small share, and the words that tell licenses apart
-(version numbers, clauses such as NC or ND) must be there exactly.
+Each template of a license is a zstandard raw dictionary. Candidate blocks are the words around a word that every place of a
+template's wording must have (one that tells licenses apart, or one of its rarest); each is compressed with the template and without
+it. A block that the template makes smaller is a candidate of it, the more the size falls the better: candidates are
+ranked by that, and the exact wording confirms them in this order. A template that saves nothing is not looked at further: so the
+size reductions choose, and the words only confirm: the template's words must stand there in order but for a small share, and the
+words that tell licenses apart (version numbers, clauses such as NC or ND) must be there exactly. A wording of two
+words has no others in between: parted, they are too short to be a repetition to a compressor. Sizes are the better of two
+levels, since a single one can miss a short repetition. That no wording is lost is tested against confirming
+all templates everywhere.
 
-Defined results: a null or empty text has no block, nor has one without a cue; a very long text is read whole, and time grows
-with its words, as only the surroundings of telling or rare words are compared; a null doc_id stays null; repeated rows each give their rows; ties go to the smaller difference,
-then to the longer template, then by name; other columns are passed over; an empty table gives an empty result.
+What is reported are the blocks of the text: lines with a cue word, joined with the lines around that have one too, and grown over
+the lines of every confirmed wording: texts that are wrapped, or wrapped inside comments, are one block.
+
+Defined results: a null or empty text has no block, nor has one without a cue; a very long text, or a very long line, is read whole,
+and time grows with its words, as only the surroundings of telling or rare words are compressed; a null doc_id stays null, one that is no
+number is an error (it is cast to long); repeated rows each give their rows; of the templates of one license in a block the one of the largest reduction
+stands for it, then the smaller difference, the longer template, the earlier one; other columns are passed over; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -84,6 +92,8 @@ WORDS = re.compile(r"[0-9A-Za-z]+(?:[.-][0-9A-Za-z]+)*")
 #: Words that must agree exactly: they tell one license from another.
 _VERSION = r"(?:v?\d[\w.]*|-[\w.-]+)?"
 TELLING = re.compile(rf"^(?:v?\d.*|mit|boost|bsl{_VERSION}|apache{_VERSION}|gnu|[al]?gpl{_VERSION}|lesser|affero|bsd{_VERSION}|isc|mpl{_VERSION}|mozilla|cc0?(?:-[\w.-]+)?|by-[\w.-]+|sa|nc|nd|sharealike|.*-(?:only|clause)|attribution(?:-\w+)*|noncommercial|noderivatives|unencumbered)$")
+#: Levels of compression whose better result counts.
+LEVELS = (3, 19)
 OUT = "doc_id long, block long, start long, end long, license string, template int, gain double, missing int, extra int, exact boolean, wording string"
 
 
@@ -124,33 +134,59 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, share: float = 0.15):
         import zstandard as z
 
+        plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.share, self.known = share, {}
-        self.plain = z.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.plain = [z.ZstdCompressor(level=k, **plain) for k in LEVELS]
         self.entries = []
         for name, texts in templates.items():
             for i, t in enumerate(texts):
-                d = z.ZstdCompressionDict(t.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=3)
-                self.entries.append((name, i, words(t), z.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+                want = words(t)
+                d = z.ZstdCompressionDict(" ".join(want).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+                self.entries.append((name, i, want, [z.ZstdCompressor(level=k, dict_data=d, **plain) for k in LEVELS]))
+
+    def reduced(self, entry: int, block: str) -> tuple[int, float]:
+        """Bytes that a template saves of a block, and their share of its size without it."""
+        if (entry, block) not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            raw = block.encode()
+            sizes = [(len(a.compress(raw)), len(b.compress(raw))) for a, b in zip(self.plain, self.entries[entry][3], strict=True)]
+            self.known[entry, block] = max((a - b, (a - b) / a) for a, b in sizes)
+        return self.known[entry, block]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(size reduction, entry) of the templates, best first."""
-        raw = block.lower().encode()
-        base = len(self.plain.compress(raw))
-        gains = [((base - len(c.compress(raw))) / base, i) for i, (_, _, _, c) in enumerate(self.entries)]
-        return sorted(gains, key=lambda x: (-x[0], x[1]))
+    def limits(self, entry: int) -> tuple[int, int]:
+        """Words that a place of a template may lack, and may have in between."""
+        m = len(self.entries[entry][2])
+        return int(self.share * m), max(2, int(self.share * m)) if m > 2 else 0
 
-    def confirm(self, have: list[str], places: dict[str, list[int]], entry: int) -> list[tuple[int, int, int, int, str]]:
-        """(first word, end, words missing, words put in between, their wording) of each place where the template's wording
-        is. ``places``: positions of each word of ``have``. A place's words may lack and add few words, and no telling one."""
+    def candidates(self, have: list[str], places: dict[str, list[int]]) -> Iterator[tuple[int, int, int]]:
+        """(entry, first and last place where its wording may begin) around each word that it must have."""
+        for i, (_, _, want, _) in enumerate(self.entries):
+            lack, add = self.limits(i)
+            rare = sorted(range(len(want)), key=lambda k: len(places.get(want[k], ())))
+            # a telling word is in every place, and so is one of any lack + 1 words
+            telling = [k for k in rare if TELLING.match(want[k])]
+            for k in telling[:1] or rare[: lack + 1]:
+                for a in places.get(want[k], ()):
+                    yield i, max(0, a - k - add), min(len(have) - 1, a - k + lack)
+
+    def ranked(self, have: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, list[int]]]:
+        """(bytes saved, entry, places where its wording may begin): candidates that are smaller with the template, the best first."""
+        won: dict[int, tuple[int, set[int]]] = {}
+        for i, a, b in self.candidates(have, places):
+            saved = self.reduced(i, " ".join(have[a : b + len(self.entries[i][2]) + self.limits(i)[1]]))[0]
+            if saved > 0:
+                most, starts = won.get(i, (0, set()))
+                won[i] = max(most, saved), starts | set(range(a, b + 1))
+        return sorted(((n, i, sorted(s)) for i, (n, s) in won.items()), key=lambda x: (-x[0], x[1]))
+
+    def confirm(self, have: list[str], starts: list[int], entry: int) -> list[tuple[int, int, int, int, str]]:
+        """(first word, end, words missing, words put in between, their wording) of each place of ``starts`` where the template's
+        wording is. A place's words may lack and add few words, and no telling one."""
         want, m = self.entries[entry][2], len(self.entries[entry][2])
-        lack, add = int(self.share * m), max(2, int(self.share * m))
-        rare = sorted(range(m), key=lambda k: len(places.get(want[k], ())))
-        # a telling word is in every place, and so is one of any lack + 1 words: only their surroundings are looked at
-        telling = [k for k in rare if TELLING.match(want[k])]
-        starts = {s for k in telling[:1] or rare[: lack + 1] for a in places.get(want[k], ()) for s in range(max(0, a - k - add), a - k + lack + 1)}
+        lack, add = self.limits(entry)
         count, first, found = Counter(want), set(want[: lack + 1]), []
-        for s in sorted(starts):
+        for s in starts:
             if s < len(have) and have[s] in first:
                 part = have[s : s + m + add]
                 if sum((Counter(part) & count).values()) >= m - lack and (got := self.aligned(part, want, lack, add)):
@@ -209,8 +245,11 @@ class Scanner:
             places[w].append(len(have))
             have.append(w)
             at.append(m.span())
-        # a text may hold several notices: every template is confirmed, each at its own places
-        found = [(*_lines(text, at[s][0], at[e - 1][1]), i, got) for i in range(len(self.entries)) for s, e, *got in self.confirm(have, places, i)]
+        found = []
+        for _, i, starts in self.ranked(have, places):  # a text may hold several notices: all that the ranking has are confirmed
+            for first, end, *got in self.confirm(have, starts, i):
+                saved, share = self.reduced(i, " ".join(have[first:end]))
+                found.append((*_lines(text, at[first][0], at[end - 1][1]), i, saved, share, got))
         grown: list[list] = []
         for a, b, *place in sorted([*blocks(text), *found], key=lambda x: x[:2]):
             if grown and a <= grown[-1][1]:
@@ -219,23 +258,16 @@ class Scanner:
                 grown.append([a, b, []])
             if place:
                 grown[-1][2].append(place)
-        return [(a, b, self.chosen(text[a:b], place)) for a, b, place in grown]
+        return [(a, b, self.chosen(place)) for a, b, place in grown]
 
-    def chosen(self, block: str, found: list) -> list[tuple[str, int, float, int, int, str]]:
-        """The best template of each license found in a block, best first; the ranking only orders."""
-        if not found:
-            return []
-        if block not in self.known:
-            if len(self.known) > 10_000:
-                self.known.clear()
-            self.known[block] = {i: gain for gain, i in self.ranked(block)}
+    def chosen(self, found: list) -> list[tuple[str, int, float, int, int, str]]:
+        """The template that stands for each license found in a block: of the largest reduction; licenses in this order."""
         best: dict[str, tuple] = {}
-        for i, got in found:
+        for i, saved, share, got in found:
             name, t, want, _ = self.entries[i]
-            gain = self.known[block][i]
-            key = (got[0] + got[1], -len(want), -gain)
+            key = (-saved, got[0] + got[1], -len(want), i)
             if name not in best or key < best[name][0]:
-                best[name] = (key, (name, t, round(gain, 4), *got))
+                best[name] = (key, (name, t, round(share, 4), *got))
         return [v for _, v in sorted(best.values(), key=lambda x: (x[0], x[1][0]))]
 
 

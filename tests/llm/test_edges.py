@@ -18,7 +18,7 @@ from chronolattice.llm.quality_mil import classify_quality, keep_good
 from chronolattice.llm.queries import tokenizer_path
 from chronolattice.llm.substring_dedup import dedup_substrings
 from chronolattice.llm.suffix_dedup import dedup_bytes
-from chronolattice.llm import token_coder
+from chronolattice.llm import license_scan, token_coder
 from chronolattice.llm.token_coder import BLOCK, Words, decode_frame, encode_documents, encode_frames, read_tokens
 
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -310,6 +310,47 @@ def test_every_template_announces_itself(spark):
         assert name in {x[0] for _, _, found in scanner.scan(f"First line.\n{t}\nLast line.") for x in found} >= plain
 
 
+def everywhere(scanner, text):
+    """All that exact wording confirms, without any compression: every template at every word."""
+    have = license_scan.words(text)
+    return {(scanner.entries[i][0], i, s, e) for i in range(len(scanner.entries)) for s, e, *_ in scanner.confirm(have, list(range(len(have))), i)}
+
+
+def chosen(scanner, text):
+    have, places = license_scan.words(text), collections.defaultdict(list)
+    for i, w in enumerate(have):
+        places[w].append(i)
+    return {(scanner.entries[i][0], i, s, e) for _, i, starts in scanner.ranked(have, places) for s, e, *_ in scanner.confirm(have, starts, i)}
+
+
+def test_compression_loses_no_wording():
+    scanner, rng = license_scan.Scanner(), np.random.default_rng(12)
+    other = "work software under the of and a is der mit de license code permission terms this".split() + WORDS
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            _, _, want, _ = scanner.entries[rng.integers(len(scanner.entries))]
+            want, lack = list(want), int(0.15 * len(want))
+            for _ in range(rng.integers(0, lack + 1)):
+                free = [k for k, w in enumerate(want) if not license_scan.TELLING.match(w)]
+                del want[rng.choice(free)]
+            for _ in range(rng.integers(0, max(2, lack) + 1)):
+                want.insert(rng.integers(0, len(want) + 1), rng.choice(other))
+            parts += [*rng.choice(other, rng.integers(0, 5)), *want]
+        text = " ".join(parts)
+        found = everywhere(scanner, text)
+        assert chosen(scanner, text) == found
+        listed = {x[0] for _, _, block in scanner.scan(text) for x in block}
+        assert listed == {x[0] for x in found}
+
+
+def test_compression_chooses(monkeypatch):
+    text = "Some lines.\nReleased under the MIT License.\nMore of them. License: GPLv3"
+    assert {x[0] for _, _, b in license_scan.Scanner().scan(text) for x in b} == {"MIT", "GPL-3.0"}
+    monkeypatch.setattr(license_scan.Scanner, "reduced", lambda self, entry, block: (0, 0.0))
+    assert {x[0] for _, _, b in license_scan.Scanner().scan(text) for x in b} == set()
+
+
 def test_distance_against_brute_force():
     from chronolattice.llm.decontaminate import Matcher, budget, normalise
 
