@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from chronolattice.functions import text as fx
 from chronolattice.operators.grounding import ground_entities, ground_fuzzy
-from chronolattice.plans import sexpr
+from chronolattice.plans import batch, sexpr
+from chronolattice.plans.compiler import Options
 from chronolattice.sources.storage import placed
 
 
@@ -192,3 +193,26 @@ def hit_rates(converted: DataFrame, answers: DataFrame | None = None) -> DataFra
     j = converted.join(answers, "id", "left")
     same = F.sort_array(F.array_distinct(F.coalesce("predicted", F.array().cast("array<string>")))) == F.sort_array(F.array_distinct("gold"))
     return j.agg(n, F.round(F.avg((F.col("ok") & same).cast("double")), 6).alias("executed"))
+
+
+def execution_check(graph: DataFrame | Callable, rows: DataFrame, *, key: str = "id", gold: str = "gold", overlap: bool = True, options: Options = Options()) -> DataFrame:
+    """``rows`` (key, SExpr, gold: array of answers) with how many answers the expression has and how many of these are gold ones, and
+    ``right``: the same answers as sets or, with ``overlap``, one in common. All expressions run together; answers stay rows. Rows
+    without an expression ("null", or null) and those whose expression has no answers to give are not right; a null gold is empty, nulls in it are none.
+    A count's answer is its text."""
+    asked = rows.where("SExpr <> 'null'").select(key, F.col("SExpr").alias("sexpr"))
+    found = asked.join(batch.execute(graph, asked, options), "sexpr").groupBy(key, "x").agg(F.lit(1).alias("is_found"))
+    want = rows.select(key, F.explode(F.array_distinct(F.array_compact(gold))).alias("x")).groupBy(key, "x").agg(F.lit(1).alias("is_gold"))
+    both = found.join(want, [key, "x"], "full").groupBy(key).agg(F.count("is_found").alias("answers"), F.count("is_gold").alias("wanted"), F.count_if(F.col("is_found").isNotNull() & F.col("is_gold").isNotNull()).alias("common"))
+    out = rows.join(both, key, "left").fillna(0, ["answers", "wanted", "common"])
+    same = (F.col("answers") == F.col("wanted")) & (F.col("common") == F.col("wanted"))
+    right = same | (F.col("common") > 0) if overlap else same
+    return out.withColumn("right", F.coalesce(F.col("SExpr") != "null", F.lit(False)) & right).drop("wanted")
+
+
+def conversion_report(checked: DataFrame) -> DataFrame:
+    """One row a source of expressions, and one over all (source null): questions, those with an expression, those whose answers are
+    right, and both shares."""
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    has = F.coalesce(F.col("SExpr") != "null", F.lit(False))
+    return checked.rollup(F.col("SExpr_source").alias("source")).agg(F.count("*").alias("questions"), F.count_if(has).alias("converted"), F.count_if("right").alias("executed"), share(has).alias("converted_share"), share(F.col("right")).alias("executed_share"))
