@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolattice.operators import grounding as gr
+from chronolattice.operators import nearest
 
 
 def ratio(a, b):
@@ -52,3 +53,43 @@ def test_one_plan_of_the_dictionary(spark):
 
     plan = analysis.QUERIES["ground_fuzzy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 12 and "SinglePartition" not in plan
+
+
+def brute_nearest(queries, labels, k, least):
+    unit = lambda v: np.array(v, float) / np.linalg.norm(v)
+    out = set()
+    for q, v in queries:
+        if v is None or len(v) != 8 or not np.any(v) or not np.isfinite(v).all():
+            continue
+        found = sorted(((-round(float(unit(v) @ unit(w)), 6), x) for x, w in labels.items()))
+        out |= {(q, x, r + 1) for r, (s, x) in enumerate(found[:k]) if -s > least}
+    return out
+
+
+def test_label_index(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(12, 8))
+    labels = {f"l{i:03d}": (middles[i % 12] + 0.3 * rng.normal(size=8)).tolist() for i in range(300)}
+    labels["l300"] = labels["l007"]  # equal vectors: the smaller label comes first
+    odd = [("bad", None), ("zero", [0.0] * 8), (None, [1.0] * 8), ("short", [1.0, 2.0]), ("l007", labels["l007"])]
+    table = spark.createDataFrame([*labels.items(), *odd], "label string, vector array<double>")
+    asked = [(i, (middles[i % 12] + 0.3 * rng.normal(size=8)).tolist()) for i in range(40)] + [(100, labels["l007"]), (101, None), (102, [0.0] * 8), (103, [1.0])]
+    queries = spark.createDataFrame(asked, "query int, vector array<double>")
+    monkeypatch.setattr(nearest, "CHUNK", 10)  # lists in chunks
+    ix = nearest.LabelIndex(table, lists=12)
+    assert ix.chunks and 1 <= ix.probes <= 12
+    rows = lambda df: {(r["query"], r["label"], r["rank"]) for r in df.collect()}
+    assert rows(ix.exact(queries, 3)) == brute_nearest(asked, labels, 3, 0.2)
+    assert rows(ix.nearest(queries, 3)) <= {(q, x, r) for q, x, _ in brute_nearest(asked, labels, 300, 0.2) for r in (1, 2, 3)}
+    got = ix.recall(queries, 3).first()
+    assert got["queries"] == 41 and got["wanted"] == 123 and got["recall"] >= 0.9
+    assert ix.nearest(queries.limit(0)).collect() == []
+    none = nearest.LabelIndex(table.limit(0))
+    assert none.nearest(queries).collect() == [] and none.exact(queries).collect() == []
+
+
+def test_text_vectors(spark):
+    words = ["Alexander the Great", "alexander  the_great", "Alexandre the Great", "Napoleon", "", None]
+    v = {r["k"]: np.array(r["vector"]) for r in nearest.text_vectors(spark.createDataFrame(list(enumerate(words)), "k int, t string"), "k", "t").collect()}
+    cos = lambda a, b: float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
+    assert cos(0, 1) > 0.9999 and 0.6 < cos(0, 2) < 0.99 and cos(0, 3) < 0.3 and not v[4].any() and not v[5].any()
