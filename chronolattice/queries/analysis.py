@@ -13,7 +13,8 @@ from chronolattice.plans import sexpr, sparql
 from chronolattice.queries.dataset import _sql_questions, questions
 from chronolattice.sources import formats
 from chronolattice.sources.kg import TRIPLES_SQL, table, triples
-from chronolattice.sources.storage import kept
+from chronolattice.sources.storage import kept, shared_tables
+from chronolattice.sources.surface_cache import cached_surface_index
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -168,10 +169,22 @@ ROUND_TRIPS = (
 
 
 def _sparql(s, d):
-    rows = s.createDataFrame(list(ROUND_TRIPS), "sparql string, want string")
+    """SPARQL and the expression that it stands for, of an order's number each."""
+    k, n = (F.col("o_orderkey") % len(ROUND_TRIPS)).cast("int"), F.concat(F.lit("m.o"), F.col("o_orderkey"))
+    pick = lambda i: F.replace(F.get(F.array(*[F.lit(p[i]) for p in ROUND_TRIPS]), k), F.lit("m.1"), n)
+    rows = table(s, d, "orders").select(pick(0).alias("sparql"), pick(1).alias("want"))
     return sparql.converted(rows).select("want", "s_expression", "ok").withColumn("same", F.col("want") == F.col("s_expression"))
 
 
+def _surface_cached(s, d):
+    """The same mentions as ``topk_surface``, by an index that is built, and then read as it was left."""
+    folder, (m, e) = shared_tables(s) + "/surface", _index(s, d)
+    cached_surface_index(folder, m, e)
+    index, built = cached_surface_index(folder, m, e)
+    found = gr.top_surface(table(s, d, "nation").select(F.substring("n_name", 1, 4).alias("mention")), index, 3)
+    return found.withColumn("built", F.lit(built))
+
+
 QUERIES = {
     "eval_f1": lambda s, d: ev.scored(_pairs(s, d)).select("question", F.round("f1", 6).alias("f1"), "hits1", "acc"),
     "eval_metrics": lambda s, d: ev.answer_metrics(_pairs(s, d)),
@@ -206,6 +219,7 @@ QUERIES = {
     "preference_accuracy": lambda s, d: tr.preference_accuracy(table(s, d, "lineitem"), "l_discount", "l_tax"),
     "rouge_like": _overlap,
     "sparql_roundtrip": _sparql,
+    "surface_cached": _surface_cached,
     "question_signals_join": lambda s, d: ev.first_by_question(questions(s, d), F.col("qid")).select("qid", "q"),
 }
 
@@ -224,6 +238,8 @@ ORACLES = {
     "ground_exact": f"WITH {TRIPLES_SQL}, r AS (SELECT p, dense_rank() OVER (ORDER BY p) rel FROM (SELECT DISTINCT p FROM t)), q AS (SELECT o_orderkey k, ['trade.order.lines', '/geo/nation/region', 'trade.order.line', 'trade.ordr.customer', 'made.up.relation' || o_custkey, 'xx.yy.balance'][o_orderkey % 6 + 1] relation FROM orders) SELECT k, relation, CAST(rel AS INT) rel FROM q LEFT JOIN r ON '/' || replace(p, '.', '/') = CASE WHEN starts_with(relation, '/') THEN relation ELSE '/' || replace(relation, '.', '/') END",
     "ground_entity": "SELECT 'm.n' || n_nationkey mid, n_nationkey id FROM nation",
     "answer_index": "SELECT o_custkey head, 1 rel, string_agg('m.o' || o_orderkey, ',' ORDER BY 'm.o' || o_orderkey) answers FROM orders GROUP BY o_custkey",
+    "surface_cached": f"WITH {_IDX}, q AS (SELECT DISTINCT substr(n_name, 1, 4) mention FROM nation) SELECT mention, mid, score, false built, CAST(row_number() OVER (PARTITION BY mention ORDER BY score DESC, mid) AS INT) AS \"rank\" FROM q JOIN ix ON lower(mention) = surface QUALIFY \"rank\" <= 3",
+    "sparql_roundtrip": "WITH w AS (SELECT replace(list_extract([" + ", ".join("'" + p[1].replace("'", "''") + "'" for p in ROUND_TRIPS) + f"], CAST(o_orderkey % {len(ROUND_TRIPS)} + 1 AS INT)), 'm.1', 'm.o' || o_orderkey) want FROM orders) SELECT want, want s_expression, true ok, true same FROM w",
     "topk_surface": f"WITH {_IDX}, q AS (SELECT DISTINCT substr(n_name, 1, 4) mention FROM nation) SELECT mention, mid, score, CAST(row_number() OVER (PARTITION BY mention ORDER BY score DESC, mid) AS INT) AS \"rank\" FROM q JOIN ix ON lower(mention) = surface QUALIFY \"rank\" <= 3",
     "link_dates": "SELECT c_custkey qid, 5 + len(string_split(n_name, ' ')) + len(string_split(substr(n_name, 1, 4), ' ')) AS \"at\", '1998' AS \"year\" FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "link": f"WITH {_LINK} SELECT qid, s AS \"start\", e AS \"end\", span, mid, score surface_score, perfect, CAST(pop * CASE WHEN perfect THEN 60 ELSE 1 END AS DOUBLE) score FROM k",

@@ -44,7 +44,7 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` as a table under ``spark.checkpoint.dir``, read again: unlike a checkpointed frame it is a plain scan to later
     plans, with statistics and pushed filters. The tables go when the driver ends in order."""
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,8 +52,8 @@ def kept(df: DataFrame) -> DataFrame:
 _OWN: dict[str, str] = {}
 
 
-def _tables(spark: SparkSession) -> str:
-    """This application's folder of tables."""
+def shared_tables(spark: SparkSession) -> str:
+    """This application's folder of tables, which goes with it."""
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"{_folder(spark).rstrip('/')}/{app}-tables"
