@@ -64,7 +64,7 @@ TEMPLATES = (
 
 
 def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, high: int = 2025, cap: int | None = None, total: int | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
-    """Facts of the families: topic and answer differ, years lie within bounds where there are any, each hash once, at
+    """Facts of the families: topic and answer differ, years lie within bounds where there are any, each fact once, at
     most ``cap`` a family (those of the smallest hashes) and ``total`` of all (families in their order)."""
     label = graph.where((F.col("p") == LABEL) & (F.col("o_lang") == "en")).groupBy(F.col("s").alias("mid")).agg(F.min("o").alias("label"))
     parts = []
@@ -79,8 +79,9 @@ def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, hig
         facts = facts.join(label.select(F.col("mid").alias(c), F.col("label").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     ok = lambda c: fx.year_of(F.col(c)).isNull() | fx.year_of(F.col(c)).between(low, high)
     facts = facts.where(ok("temporal_start") & ok("temporal_end") & (F.trim("topic_label") != "") & (F.trim("answer_label") != ""))
-    h = fx.row_hash(*[F.col(c) for c in ("fact_relation_family", "topic_mid", "answer_mid", "temporal_start", "temporal_end")])
-    facts = facts.withColumn("supporting_row_hash", h).dropDuplicates(["supporting_row_hash"])
+    made_of = ["fact_relation_family", "topic_mid", "answer_mid", "temporal_start", "temporal_end"]
+    # a short hash is a name: among very many facts different ones may share it, so repeats are told by what it is made of
+    facts = facts.withColumn("supporting_row_hash", fx.row_hash(*map(F.col, made_of))).dropDuplicates(made_of)
     facts = facts.withColumn("fact_id", F.concat_ws("-", "fact_relation_family", "supporting_row_hash"))
     facts = cap_by(facts, "fact_relation_family", cap, F.col("supporting_row_hash")) if cap else facts
     place = F.array_position(F.array(*[F.lit(f.family) for f in of]), F.col("fact_relation_family"))

@@ -160,16 +160,21 @@ class Compiler:
         last = [c for c in start.columns if c.endswith("_datatype")]
         return start.drop(*last).join(pairs, at), v, [*vars_, v]
 
+    def _hops(self, rel) -> list:
+        """The relations of a path, each with its direction."""
+        return self._hops(rel[1]) + self._hops(rel[2]) if isinstance(rel, list) and rel[0] == "JOIN" else [rel]
+
     def _compare(self, e) -> Rows:
         op, rel, value = e
-        first = rel
-        while isinstance(first, list) and first[0] == "JOIN":
-            first = first[1]
+        first, *rest = self._hops(rel)
+        v = self.name()
         if isinstance(first, list):  # x is where the first hop ends
-            base = self.graph.where(F.col("p") == first[1]).select(F.col("o").alias("x"), F.col("o_kind").alias("x_kind"), F.col("o_lang").alias("x_lang")).distinct()
+            df = self.graph.where(F.col("p") == first[1]).select(F.col("o").alias("x"), F.col("o_kind").alias("x_kind"), F.col("o_lang").alias("x_lang"), F.col("s").alias(v))
         else:
-            base = self._entities(self.graph.where(F.col("p") == first)).df.distinct()
-        df, v, vars_ = self._path(rel, base, "x", [])
+            df = self.graph.where(F.col("p") == first).select(F.col("s").alias("x"), F.lit("entity").alias("x_kind"), F.lit(None).cast("string").alias("x_lang"), F.col("o").alias(v))
+        vars_ = [v]
+        for hop in rest:
+            df, v, vars_ = self._path(hop, df, v, vars_)
         m = re.match(r'^"?(.*?)"?(?:\^\^(.*))?$', value)
         text, datatype = m[1], m[2] or ""
         if "date" in datatype.lower() or "year" in datatype.lower() or (value.startswith('"') and re.match(r"^\d{4}(-|$)", text)):
