@@ -246,6 +246,11 @@ def summary(df: DataFrame, **keys: Column) -> DataFrame:
     return g.select(F.get(which, place).alias("metric"), key.alias("key"), "n")
 
 
+def sample_totals(samples: DataFrame) -> DataFrame:
+    """One row: samples, distinct questions and expressions, and samples with a topic."""
+    return samples.agg(F.count("*").alias("total_samples"), F.count_distinct("question").alias("unique_questions"), F.count_distinct("s_expression").alias("unique_expressions"), F.count_if(~_blank("topic_entity_mid")).alias("non_empty_topic_entities"))
+
+
 def verify(samples: DataFrame, answers: DataFrame) -> DataFrame:
     """Samples joined with what their expressions answer (sample_id, predicted): verified, reason, and answers replaced by the
     graph's where they match."""

@@ -13,7 +13,7 @@ from chronolattice.operators import kb
 from chronolattice.operators import training as tr
 from chronolattice.plans import sexpr, sparql
 from chronolattice.queries.analysis import _BEAMS, _IDX, _VALID, _beams, _index, _relations
-from chronolattice.queries.dataset import _C, _G, _candidates, _facts, _human, _verified, _VERIFIED
+from chronolattice.queries.dataset import _C, _G, _VERIFIED, _candidates, _facts, _human, _sql_questions, _type, _verified
 from chronolattice.sources.kg import TRIPLES_SQL, table, triples
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -140,6 +140,7 @@ QUERIES = {
     "review_totals": lambda s, d: ds.review_totals(_candidates(s, d)),
     "verify_totals": lambda s, d: ds.verify_totals(_verified(s, d)),
     "training_summary": lambda s, d: ds.training_summary(_examples(s, d)),
+    "sample_totals": lambda s, d: ds.sample_totals(_candidates(s, d)),
     "grounding_counters": lambda s, d: ev.grounding_counters(_grounded(s, d)),
     "grounding_failures": lambda s, d: ev.grounding_failures(_grounded(s, d)),
     "hit_rates": lambda s, d: ev.hit_rates(_instances("webqsp")(s, d)),
@@ -158,6 +159,11 @@ _PARTS += "e AS (SELECT 'm.c' || c_custkey mid FROM customer UNION ALL SELECT 'm
 _PARTS += "g AS (SELECT r, m, r IN (SELECT p FROM t) AS rok, m IN (SELECT mid FROM e) AS eok FROM p)"
 
 ORACLES = {
+    "training_summary": f"""{_C}, {_sql_questions()}, e AS (SELECT qid sid, 'Question: {{ ' || trim(question) || ' }}' i, '(JOIN (R trade.order.lines) m.o' || substr(qid, 2) || ')' o, 0 r, 'human' src, {_type('question')} tt FROM q WHERE CAST(substr(qid, 2) AS BIGINT) % 4 <> 0
+            UNION ALL SELECT sid, 'Question: {{ ' || trim(question) || ' }}', sx, 1, 'synthetic', tt FROM c),
+        d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY i, o ORDER BY r, sid) = 1)
+        SELECT 'total_examples' metric, '' AS "key", count(*) n FROM d UNION ALL SELECT 'with_metadata', '', count(src) FROM d UNION ALL SELECT 'by_source', src, count(*) FROM d GROUP BY src UNION ALL SELECT 'by_temporal_type', tt, count(*) FROM d GROUP BY tt""",
+    "sample_totals": f"{_C} SELECT count(*) total_samples, count(DISTINCT question) unique_questions, count(DISTINCT sx) unique_expressions, count(*) FILTER (topic <> '') non_empty_topic_entities FROM c",
     **{f"sparql_{k}": _sql_instances(k) for k in SPARQL},
     "isomorphism": f"SELECT o_orderkey k, o_orderkey % {len(PAIRS)} IN ({', '.join(str(i) for i, p in enumerate(PAIRS) if p[2])}) AS same FROM orders",
     "text_forms": "SELECT o_orderkey k, o_orderkey % 7 IN (0, 1, 3, 4) AS number, 'part ' || o_custkey hint, o_orderkey % 2 = 0 unsupported, 'JOIN date_' || o_custkey || ' m.o1 WITH' short, 'abc/trade/order_kind/part_' || o_custkey clean FROM orders",
