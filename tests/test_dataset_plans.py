@@ -42,3 +42,16 @@ def test_mined_over_rows_and_over_the_graph(spark):
     a, b = ds.mine_facts(g, q.FAMILIES), ds.mine_facts(g, q.FAMILIES, facts_of=row_facts(spark, SF))
     assert a.count() == b.count() and a.exceptAll(b).isEmpty()
     assert b.where(F.col("fact_id").isNull()).isEmpty()
+
+
+def test_verification_deals_no_samples(spark):
+    keys = dealt(q.QUERIES["verify_samples"](spark, SF))
+    assert any("topic_entity_mid" in k for k in keys) and not any("sample_id" in k or "cvt" in k for k in keys)
+
+
+def test_generated_samples_verify_like_any(spark):
+    g, c = triples(spark, SF), q._candidates(spark, SF).where("crc32(sample_id) % 5 = 0")
+    a = ds.verify(c, ds.answer_candidates(g, c, tuple({r for f in q.FAMILIES for r in (f.to_cvt, f.to_answer, f.start, f.end) if r})))
+    b = ds.verify_generated(c, g, q.FAMILIES, row_facts(spark, SF))
+    cols = ("sample_id", "predicted", "answers", "verified", "verification_error")
+    assert a.count() == b.count() and a.select(*cols).exceptAll(b.select(*cols)).isEmpty()
