@@ -13,6 +13,7 @@ no facts; an unknown template, or a table without the slots, is an error when a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 
 from chronolattice.functions import text as fx
 from chronolattice.operators.dataset import Family, mine_facts
+from chronolattice.sources.kg import cvt_facts
 
 FACT = ("fact_id", "fact_relation_family", "topic_mid", "topic_label", "answer_mid", "answer_label", "answer_relation", "retrieved_from_relation", "temporal_start", "temporal_end")
 SLOTS = ("role", "topic_label", "answer_label", "year")
@@ -44,10 +46,10 @@ def _text(v: str) -> str:
 
 
 class Registry:
-    """The functions of one session over one graph."""
+    """The functions of one session over one graph, whose facts ``facts_of`` reads."""
 
-    def __init__(self, spark: SparkSession, graph: DataFrame):
-        self.spark, self.graph = spark, graph
+    def __init__(self, spark: SparkSession, graph: DataFrame, facts_of: Callable[..., DataFrame] = cvt_facts):
+        self.spark, self.graph, self.facts_of = spark, graph, facts_of
         self.families: dict[str, Family] = {}
         self.templates: dict[str, tuple[str, str, str]] = {}
         for name, body in BUILDERS.items():
@@ -74,7 +76,7 @@ class Registry:
         """``mined_<family>(low, high)``: its facts whose years, where there are any, lie between two."""
         view = f"__mined_{_name(f.family)}"
         year = lambda c: fx.year_of(F.col(c))
-        facts = mine_facts(self.graph, (f,), low=0, high=9999).select(*FACT, F.lit(f.role).alias("role"), year("temporal_start").alias("start_year"), year("temporal_end").alias("end_year"))
+        facts = mine_facts(self.graph, (f,), low=0, high=9999, facts_of=self.facts_of).select(*FACT, F.lit(f.role).alias("role"), year("temporal_start").alias("start_year"), year("temporal_end").alias("end_year"))
         facts.createOrReplaceTempView(view)
         self.families[f.family] = f
         self._define(f"mined_{f.family}", "low INT, high INT", f"TABLE ({', '.join(f'{c} STRING' for c in FACT)})", f"SELECT {', '.join(FACT)} FROM {view} WHERE {self._between()}")

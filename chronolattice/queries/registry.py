@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolattice.operators.dataset import TEMPLATES, Family
 from chronolattice.operators.registry import Registry
 from chronolattice.queries.dataset import _G, FAMILIES
-from chronolattice.sources.kg import triples
+from chronolattice.sources.kg import row_facts, triples
 
 
 def _registry(s: SparkSession, d: str) -> Registry:
-    r = Registry(s, triples(s, d))
+    r = Registry(s, triples(s, d), row_facts(s, d))
     for f in FAMILIES[:2]:
         r.family(f)
     for t in TEMPLATES[:1]:

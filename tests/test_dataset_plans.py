@@ -55,3 +55,10 @@ def test_generated_samples_verify_like_any(spark):
     b = ds.verify_generated(c, g, q.FAMILIES, row_facts(spark, SF))
     cols = ("sample_id", "predicted", "answers", "verified", "verification_error")
     assert a.count() == b.count() and a.select(*cols).exceptAll(b.select(*cols)).isEmpty()
+
+
+def test_registered_families_join_no_nodes_by_name(spark):
+    from chronolattice.queries.registry import QUERIES
+
+    keys = dealt(QUERIES["registry_added"](spark, SF))
+    assert any("topic_mid" in k for k in keys) and not any("cvt" in k for k in keys)
