@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolattice.sources.kg import LABEL, TYPE
+from chronolattice.sources.storage import kept
 
 #: Parts of relation names that two-hop searches leave out, and the lighter and stricter sets.
 NOISE = ("wikipedia", "type.object", "common.topic", "_id", "#type", "#label", "/ns/freebase", "ns/common.", "ns/type.", "ns/kg.", "ns/user.", "ns/dataworld.")
@@ -65,10 +66,14 @@ def _hops(edges: DataFrame, near: str, far: str, name: str, ways: str) -> DataFr
 
 def _two_hops(edges: DataFrame, entities: DataFrame, first: str, second: str) -> DataFrame:
     """(entity, r0, r1) of all paths whose hops have these ways. Of the nodes a second hop reaches only the least and the
-    greatest are kept: they tell whether one is not where the path began."""
+    greatest are kept: they tell whether one is not where the path began.
+
+    What is asked for, and what the first hop reaches, is kept as a table: while that is small the plan of the next hop sends
+    it to all tasks, and the graph's edges are filtered where they are read."""
     # inner joins with distinct keys: a semi-join would be planned anew in every branch of the union
-    one = _hops(edges, "entity", "x1", "r0", first).join(entities.select("entity").distinct(), "entity").distinct()
-    two = _hops(edges, "x1", "x2", "r1", second).join(one.select("x1").distinct(), "x1")
+    asked = kept(entities.select("entity").distinct())
+    one = kept(_hops(edges, "entity", "x1", "r0", first).join(asked, "entity").distinct())
+    two = _hops(edges, "x1", "x2", "r1", second).join(kept(one.select("x1").distinct()), "x1")
     two = two.groupBy("x1", "r1").agg(F.min("x2").alias("least"), F.max("x2").alias("most"))
     same = F.col("r0").endswith("#R") == F.col("r1").endswith("#R")
     both = one.join(two, "x1").where(same | (F.col("least") != F.col("entity")) | (F.col("most") != F.col("entity")))
