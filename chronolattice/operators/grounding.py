@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,15 +251,54 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(queries: DataFrame, labels: DataFrame, k: int = 1, least: float = 0.2, each: int = 512) -> DataFrame:
+def _likest(k: int, least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best of one block of labels for each query of one block of queries. Vectors of other lengths, of zeros only and with a
+    component that is null or no number are like none; products are of double precision, 256 queries at a time."""
+
+    def units(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length of the vectors: the places of those that can be compared, and the vectors, each of length 1."""
+        rows = [None if v is None else np.array(v, np.float64) for v in vectors.to_pylist()]
+        out = {}
+        for d in sorted({len(v) for v in rows if v is not None}):
+            at = np.array([i for i, v in enumerate(rows) if v is not None and len(v) == d])
+            x = np.stack([rows[i] for i in at]) if d else np.zeros((len(at), 0))
+            norm = np.sqrt((x * x).sum(1))
+            ok = np.isfinite(norm) & (norm > 0)
+            out[d] = at[ok], x[ok] / norm[ok, None]
+        return out
+
+    def run(q: pa.Table, l: pa.Table) -> pa.Table:  # noqa: E741
+        names, asked, them = l["label"].to_pylist(), units(q["v"]), units(l["vector"])
+        who, what, how = [], [], []
+        for d in asked.keys() & them.keys():
+            (qi, x), (li, y) = asked[d], them[d]
+            for s in range(0, len(qi) if len(li) else 0, 256):
+                z = x[s : s + 256] @ y.T
+                z = np.sign(z) * np.floor(np.abs(z) * 1e6 + 0.5) / 1e6
+                edge = np.partition(z, max(0, z.shape[1] - k), axis=1)[:, max(0, z.shape[1] - k)]
+                for i, row in enumerate(z):
+                    best = np.flatnonzero((row >= edge[i]) & (row > least)).tolist()
+                    if len(best) > k:  # equal ones: the first by label
+                        best = heapq.nsmallest(k, best, key=lambda j: (-row[j], names[li[j]] is not None, names[li[j]]))  # noqa: B023  # called at once
+                    who += [int(qi[s + i])] * len(best)
+                    what += [int(li[j]) for j in best]
+                    how += row[best].tolist()
+        return pa.table({"query": q["query"].take(pa.array(who, pa.int64())), "label": l["label"].take(pa.array(what, pa.int64())), "similarity": pa.array(how, pa.float64())})
+
+    return run
+
+
+def nearest(queries: DataFrame, labels: DataFrame, k: int = 1, least: float = 0.2, each: int = 2048) -> DataFrame:
     """(query, label, similarity, rank): the k labels most similar to each query vector, above ``least``. A stated set of
-    queries against all labels, block by block: a block of labels yields its k best before anything is ranked."""
-    blocked, n = _blocks(labels, "label", each)
-    packed = blocked.groupBy("block").agg(F.collect_list(F.struct("label", "vector")).alias("ls"))
-    q = queries.select("query", F.col("vector").alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"))
-    scored = F.transform("ls", lambda l: F.struct((-F.round(cosine(F.col("v"), l["vector"]), 6)).alias("far"), l["label"].alias("label")))
-    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["far"] < -least)), 1, k)
-    s = q.join(packed, "block").select("query", F.explode(best).alias("b")).select("query", "b.label", (-F.col("b.far")).alias("similarity"))
+    queries against all labels, block by block: a block of queries meets a block of labels in one task, as a product of matrices,
+    and leaves its k best before anything is ranked. All pairs are compared, so the work is as large as both sides multiplied."""
+    left, m = _blocks(queries.select("query", F.col("vector").alias("v")), "query", each)
+    right, n = _blocks(labels.select("label", "vector"), "label", each)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+    q, l = left.select("query", "v", F.col("block").alias("i"), every(n).alias("j")), right.select("label", "vector", every(m).alias("i"), F.col("block").alias("j"))  # noqa: E741
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    s = q.groupBy("i", "j").cogroup(l.groupBy("i", "j")).applyInArrow(_likest(k, least), f"query {kind(queries, 'query')}, label {kind(labels, 'label')}, similarity double")
+    s = s.withColumn("similarity", F.round("similarity", 6))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "label"))
     return s.withColumn("rank", rank).where(F.col("rank") <= k)
 

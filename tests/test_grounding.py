@@ -93,3 +93,26 @@ def test_text_vectors(spark):
     v = {r["k"]: np.array(r["vector"]) for r in nearest.text_vectors(spark.createDataFrame(list(enumerate(words)), "k int, t string"), "k", "t").collect()}
     cos = lambda a, b: float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
     assert cos(0, 1) > 0.9999 and 0.6 < cos(0, 2) < 0.99 and cos(0, 3) < 0.3 and not v[4].any() and not v[5].any()
+
+
+def test_nearest_over_blocks_of_odd_vectors(spark):
+    import math
+
+    from chronolattice.operators import grounding as gr
+
+    vectors = {i: [float(i % 7 - 3), float(i * i % 11 - 5), float(i % 5 - 2)] for i in range(60)} | {60: [0.0, 0.0, 0.0], 61: None, 62: [1.0, None, 2.0], 63: [1.0, 2.0], 64: [math.nan, 1.0, 1.0]}
+    rows = spark.createDataFrame([(i, str(i), v) for i, v in vectors.items()], "id long, label string, vector array<float>")
+    good = {i: v for i, v in vectors.items() if i < 60 and any(v)} | {63: [1.0, 2.0]}
+
+    def like(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6) if len(a) == len(b) else 0
+
+    want = {}
+    for i, v in good.items():
+        best = sorted((-like(v, w), str(j)) for j, w in good.items() if like(v, w) > 0.2)[:3]
+        want[i] = [b for _, b in best]
+    for each in (7, 2048):
+        got = {}
+        for r in gr.nearest(rows.select(F.col("id").alias("query"), "vector"), rows.select("label", "vector"), 3, 0.2, each).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append(r["label"])
+        assert got == want
