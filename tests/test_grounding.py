@@ -116,3 +116,12 @@ def test_nearest_over_blocks_of_odd_vectors(spark):
         for r in gr.nearest(rows.select(F.col("id").alias("query"), "vector"), rows.select("label", "vector"), 3, 0.2, each).orderBy("query", "rank").collect():
             got.setdefault(r["query"], []).append(r["label"])
         assert got == want
+
+
+def test_pairs_of_spellings_are_compared_once(spark):
+    from chronolattice.operators.beams import similar_relations
+
+    asked = [(i, "trade.order.custmer", r) for i in range(20) for r in ("trade.order.customer", "trade.order.date")] + [(0, "trade.order.custmer", "trade.order.customer")]
+    got = similar_relations(spark.createDataFrame(asked, "slot long, text string, relation string"), 1)
+    assert {r["relation"] for r in got.collect()} == {"trade.order.customer"} and got.count() == 20
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()  # slots meet similarities that are there
