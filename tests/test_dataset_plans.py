@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolattice.operators import dataset as ds
 from chronolattice.queries import dataset as q
-from chronolattice.sources.kg import cvt_facts, row_facts, triples
+from chronolattice.sources.kg import SCHEMA, cvt_facts, row_facts, triples
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +62,40 @@ def test_registered_families_join_no_nodes_by_name(spark):
 
     keys = dealt(QUERIES["registry_added"](spark, SF))
     assert any("topic_mid" in k for k in keys) and not any("cvt" in k for k in keys)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["fact_summary", "mine_capped", "mine_total", "fact_sample", "summaries", "validation_issues", "review_totals"])
+def test_labels_that_nobody_reads_deal_no_facts(spark, no_broadcast, name):
+    """Labels too many to be broadcast: facts are not dealt by answer, and both kinds of facts of a line come from one join."""
+    from chronolattice.queries import review
+
+    keys = dealt((q.QUERIES | review.QUERIES)[name](spark, SF))
+    plan = (q.QUERIES | review.QUERIES)[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum("l_orderkey" in k for k in keys) == 1 and "topic_mid" in plan
+    if name == "fact_sample":  # labels are looked up for ten facts
+        assert plan.index("TakeOrderedAndProject") > plan.index("answer_mid")
+    else:
+        assert not any("answer_mid" in k for k in keys)
+
+
+def test_repeats_are_told_in_rows_without_texts(spark):
+    sorts = re.findall(r"Sort \[topic_mid.*?\n.*", q.QUERIES["gen_candidates"](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert sorts and not any("question" in s or "s_expression" in s for s in sorts)
+
+
+def test_nodes_that_show_as_blank_are_in_no_fact(spark):
+    n = lambda s, p, o, lang=None: (s, p, o, "literal", None, lang)
+    rows = [n(f"t{i}", "a.b.to", f"c{i}") for i in range(6)] + [n(f"c{i}", "a.b.of", x) for i, x in enumerate(("x0", "x1", " ", "x3", "x4", ""))]
+    rows += [n("x0", "rdfs:label", " ", "en"), n("x1", "rdfs:label", " ", "en"), n("x1", "rdfs:label", "", "de"), n("x3", "rdfs:label", "", "en"), n("x3", "rdfs:label", "!", "en"), n("t4", "rdfs:label", "", "de"), n("", "rdfs:label", "Nil", "en")]
+    rows[7:7] = [n("x1", "rdfs:label", "\t", "en")]  # sorts before a blank
+    of = ds.families(ds.Family("f", "a.b.to", "a.b.of", "a.b.from"))
+    got = ds.mine_facts(spark.createDataFrame(rows, SCHEMA), of).select("topic_mid", "answer_label").collect()
+    assert sorted(map(tuple, got)) == [("t1", "\t"), ("t4", "x4"), ("t5", "Nil")]
