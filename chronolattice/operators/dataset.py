@@ -75,11 +75,12 @@ def _labelled(df: DataFrame, names: DataFrame, c: str, name: str, *how: str) ->
     return df.join(reduce(DataFrame.hint, how, label), c, "left").withColumn(name, F.coalesce(name, c))
 
 
-def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, high: int = 2025, cap: int | None = None, total: int | None = None, only: tuple[str, ...] | None = None, facts_of: Callable[..., DataFrame] = cvt_facts) -> DataFrame:
+def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, high: int = 2025, cap: int | None = None, total: int | None = None, only: tuple[str, ...] | None = None, facts_of: Callable[..., DataFrame] = cvt_facts, once: bool = True) -> DataFrame:
     """Facts of the families: topic and answer differ, years lie within bounds where there are any, each fact once, at
     most ``cap`` a family (those of the smallest hashes) and ``total`` of all (families in their order). ``facts_of`` reads a
     family's facts off the graph, those of several families at once where it can (``together``). Facts of a topic lie together: they are
-    dealt once, by topic, for all that follows; labels are joined last, so where none is read none is looked up."""
+    dealt once, by topic, for all that follows; labels are joined last, so where none is read none is looked up. Without ``once`` a
+    fact that the graph says twice comes twice: ``generate`` makes the same of it and keeps the first of equals anyway."""
     names = _names(graph)
     ok = lambda c: fx.year_of(F.col(c)).isNull() | fx.year_of(F.col(c)).between(low, high)
     chosen = [(i, f) for i, f in enumerate(of) if not only or f.family in only]
@@ -98,7 +99,11 @@ def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, hig
             facts = facts.where(F.trim(c) != "")
         else:
             facts = facts.join(odd.select(F.col("mid").alias(c), F.col("label").alias("__label")), c, "left").where(F.trim(F.coalesce("__label", c)) != "").drop("__label")
-    facts = facts.select("__family", "topic_mid", "answer_mid", "temporal_start", "temporal_end").repartition("topic_mid").distinct()
+    facts = facts.select("__family", "topic_mid", "answer_mid", "temporal_start", "temporal_end")
+    if cap or total is not None:
+        facts = _first_facts(facts, of, min(n for n in (cap, total) if n is not None))
+    facts = facts.repartition("topic_mid")
+    facts = facts.distinct() if once else facts
     # labels of topics come to where the topics lie: a hash of them, so facts are not sorted for it
     facts = _labelled(_labelled(facts, names, "topic_mid", "topic_label", "shuffle_hash"), names, "answer_mid", "answer_label")
     named = lambda value: F.element_at(F.array(*[F.lit(value(f)) for f in of]), F.col("__family") + 1)
@@ -114,6 +119,19 @@ def mine_facts(graph: DataFrame, of: tuple[Family, ...], *, low: int = 1800, hig
     return facts.orderBy(place, "supporting_row_hash").limit(total) if total is not None else facts
 
 
+def _first_facts(facts: DataFrame, of: tuple[Family, ...], n: int) -> DataFrame:
+    """All facts, with their repeats, of at least the first ``n`` hashes of each family, and few others. Least hashes of many groups are
+    different hashes, so the n-th of them is no smaller than the n-th of all; no facts are sorted or dealt to find it, but they are
+    read once for it and once more."""
+    family = F.element_at(F.array(*[F.lit(f.family) for f in of]), F.col("__family") + 1)
+    # twelve hexadecimal digits have the order of their number
+    hashed_ = facts.withColumn("__hash", F.conv(fx.row_hash(family, *map(F.col, ("topic_mid", "answer_mid", "temporal_start", "temporal_end"))), 16, 10).cast("long"))
+    least = hashed_.groupBy("__family", F.pmod(F.xxhash64("__hash"), F.lit(max(4096, 16 * n))).alias("__group")).agg(F.min("__hash").alias("__limit"))
+    place = F.row_number().over(Window.partitionBy("__family").orderBy("__limit"))
+    limits = kept(least.withColumn("__n", place).where(F.col("__n") == n).select("__family", "__limit"))  # a row a family
+    return hashed_.join(F.broadcast(limits), "__family", "left").where(F.col("__limit").isNull() | (F.col("__hash") <= F.col("__limit"))).drop("__hash", "__limit")
+
+
 def fact_totals(facts: DataFrame) -> DataFrame:
     """One row: facts, those with labels and with either end, distinct topics and answers."""
     there = lambda c: F.coalesce(F.col(c), F.lit("")) != ""

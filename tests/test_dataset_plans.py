@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolattice.operators import dataset as ds
 from chronolattice.queries import dataset as q
+from chronolattice.queries import review
 from chronolattice.sources.kg import SCHEMA, cvt_facts, row_facts, triples
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,24 @@ def test_nodes_that_show_as_blank_are_in_no_fact(spark):
     of = ds.families(ds.Family("f", "a.b.to", "a.b.of", "a.b.from"))
     got = ds.mine_facts(spark.createDataFrame(rows, SCHEMA), of).select("topic_mid", "answer_label").collect()
     assert sorted(map(tuple, got)) == [("t1", "\t"), ("t4", "x4"), ("t5", "Nil")]
+
+
+@pytest.mark.parametrize("name", ["mine_capped", "mine_total"])
+def test_few_facts_are_chosen_before_they_are_dealt(spark, name):
+    plan = (q.QUERIES | review.QUERIES)[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # the plan is printed from the top: below the exchange by topic, facts past a hash of their family have left
+    assert "__limit" in plan[plan.index("Exchange hashpartitioning(topic_mid") :]
+
+
+@pytest.mark.parametrize("limits", [{"cap": 3}, {"total": 5}, {"cap": 2, "total": 3}, {"cap": 4, "total": 2}])
+def test_first_facts_with_repeats(spark, limits):
+    """Facts that come three times take one place."""
+    few = lambda *a: facts_of(*a).where("crc32(topic) % 7 = 0")
+    facts_of = row_facts(spark, SF)
+    thrice = lambda *a: few(*a).unionByName(few(*a)).unionByName(few(*a))
+    g = triples(spark, SF)
+    a, b = (ds.mine_facts(g, q.FAMILIES, facts_of=f, **limits) for f in (few, thrice))
+    every = sorted((q.FAMILIES.index(next(x for x in q.FAMILIES if x.family == r[0])), r[1]) for r in ds.mine_facts(g, q.FAMILIES, facts_of=few).select("fact_relation_family", "supporting_row_hash").collect())
+    want = [r for i in range(len(q.FAMILIES)) for r in [x for x in every if x[0] == i][: limits.get("cap")]][: limits.get("total")]
+    for df in (a, b):
+        assert sorted(r.supporting_row_hash for r in df.collect()) == sorted(h for _, h in want)
