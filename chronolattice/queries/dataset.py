@@ -22,7 +22,7 @@ def _facts(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ds.generate(_facts(spark, sf_dir), FAMILIES)
+    return ds.generate(_facts(spark, sf_dir, once=False), FAMILIES)
 
 
 def _flat(df: DataFrame) -> DataFrame:

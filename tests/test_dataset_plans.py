@@ -121,3 +121,12 @@ def test_first_facts_with_repeats(spark, limits):
     want = [r for i in range(len(q.FAMILIES)) for r in [x for x in every if x[0] == i][: limits.get("cap")]][: limits.get("total")]
     for df in (a, b):
         assert sorted(r.supporting_row_hash for r in df.collect()) == sorted(h for _, h in want)
+
+
+def test_candidates_of_repeated_facts(spark):
+    """Facts that come twice make the same candidates, so they are not told apart before."""
+    plan = q.QUERIES["summaries"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"HashAggregate\(keys=\[[^]]*answer_mid", plan)
+    few = ds.mine_facts(triples(spark, SF), q.FAMILIES, facts_of=row_facts(spark, SF)).where("crc32(topic_mid) % 9 = 0")
+    a, b = ds.generate(few, q.FAMILIES), ds.generate(few.unionByName(few).unionByName(few), q.FAMILIES)
+    assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
