@@ -318,9 +318,15 @@ def summary(df: DataFrame, **keys: Column) -> DataFrame:
     return g.select(F.get(which, place).alias("metric"), key.alias("key"), "n")
 
 
-def sample_totals(samples: DataFrame) -> DataFrame:
-    """One row: samples, distinct questions and expressions, and samples with a topic."""
-    return samples.agg(F.count("*").alias("total_samples"), F.count_distinct("question").alias("unique_questions"), F.count_distinct("s_expression").alias("unique_expressions"), F.count_if(~_blank("topic_entity_mid")).alias("non_empty_topic_entities"))
+def sample_totals(samples: DataFrame, by: str | None = None) -> DataFrame:
+    """One row: samples, distinct questions and expressions, and samples with a topic. ``by``: a column that equal expressions share,
+    as topic_entity_mid is of what ``generate`` makes: expressions are then told apart where its rows lie, and questions alone are dealt."""
+    expressions = F.count_distinct("s_expression")
+    if by:
+        w = Window.partitionBy(by, "s_expression").orderBy("s_expression")
+        samples = samples.select(*dict.fromkeys(("question", "s_expression", "topic_entity_mid", by))).withColumn("__first", F.row_number().over(w))
+        expressions = F.count_if((F.col("__first") == 1) & F.col("s_expression").isNotNull())
+    return samples.agg(F.count("*").alias("total_samples"), F.count_distinct("question").alias("unique_questions"), expressions.alias("unique_expressions"), F.count_if(~_blank("topic_entity_mid")).alias("non_empty_topic_entities"))
 
 
 def verify(samples: DataFrame, answers: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ QUERIES = {
     "review_totals": lambda s, d: ds.review_totals(_candidates(s, d)),
     "verify_totals": lambda s, d: ds.verify_totals(_verified(s, d)),
     "training_summary": lambda s, d: ds.training_summary(_examples(s, d)),
-    "sample_totals": lambda s, d: ds.sample_totals(_candidates(s, d)),
+    "sample_totals": lambda s, d: ds.sample_totals(_candidates(s, d), by="topic_entity_mid"),
     "grounding_counters": lambda s, d: ev.grounding_counters(_grounded(s, d)),
     "grounding_failures": lambda s, d: ev.grounding_failures(_grounded(s, d)),
     "hit_rates": lambda s, d: ev.hit_rates(_instances("webqsp")(s, d)),

@@ -130,3 +130,10 @@ def test_candidates_of_repeated_facts(spark):
     few = ds.mine_facts(triples(spark, SF), q.FAMILIES, facts_of=row_facts(spark, SF)).where("crc32(topic_mid) % 9 = 0")
     a, b = ds.generate(few, q.FAMILIES), ds.generate(few.unionByName(few).unionByName(few), q.FAMILIES)
     assert a.count() == b.count() > 0 and a.exceptAll(b).isEmpty()
+
+
+def test_totals_deal_no_expressions(spark):
+    assert not any("s_expression" in k for k in dealt(review.QUERIES["sample_totals"](spark, SF)))
+    rows = [("a", "x", "t"), ("a", "x", "t"), ("a", "y", "t"), ("b", "z", "u"), (None, None, "u"), ("c", None, None), ("c", "v", ""), ("c", "v", "")]
+    df = spark.createDataFrame(rows, "question string, s_expression string, topic_entity_mid string")
+    assert ds.sample_totals(df, by="topic_entity_mid").collect() == ds.sample_totals(df).collect() and ds.sample_totals(df.limit(0), by="topic_entity_mid").collect() == ds.sample_totals(df.limit(0)).collect()
