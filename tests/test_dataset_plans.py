@@ -1,10 +1,12 @@
 """What mining and generation deal: facts by answer and by topic, candidates never again."""
 
 import re
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
+from chronolattice.functions import text as fx
 from chronolattice.operators import dataset as ds
 from chronolattice.queries import dataset as q
 from chronolattice.queries import review
@@ -137,3 +139,33 @@ def test_totals_deal_no_expressions(spark):
     rows = [("a", "x", "t"), ("a", "x", "t"), ("a", "y", "t"), ("b", "z", "u"), (None, None, "u"), ("c", None, None), ("c", "v", ""), ("c", "v", "")]
     df = spark.createDataFrame(rows, "question string, s_expression string, topic_entity_mid string")
     assert ds.sample_totals(df, by="topic_entity_mid").collect() == ds.sample_totals(df).collect() and ds.sample_totals(df.limit(0), by="topic_entity_mid").collect() == ds.sample_totals(df.limit(0)).collect()
+
+
+def test_draws_become_rows_in_compiled_code(spark):
+    df = q._candidates(spark, SF).select("sample_id")
+    df.collect()
+    rows = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(slice(" in line]
+    assert any(re.search(r"\*\(\d+\) Generate", line) for line in rows)
+
+
+def test_answers_are_matched_once_a_sample(spark):
+    v = q._verified(spark, SF)
+    matches = lambda *c: v.select(*c)._jdf.queryExecution().optimizedPlan().toString().count("arrays_overlap")
+    assert matches("verified", "verification_error", "answers") == matches("verified") > 0
+
+
+def test_matches_of_plain_ids_and_of_anything_else(spark):
+    cases = [
+        (["m.a"], ["M.A"], True), (["m.a"], ["g.b", "m.A"], True), (["m.a"], ["m.b"], False), (["m.a|m.b"], ["m.b"], False), (["m.a|m.b"], ["m.a|M.B"], True), (["m.a\n"], ["m.a"], False),
+        (["ns:m.a"], ["m.a"], True), (["2001-05-01"], ["2001"], True), ([" "], [""], True), ([], ["m.a"], False), ([None, "m.a"], ["m.a"], True), ([None, "m.a"], ["m.b"], None), (["?"], ["m.b"], False), ([""], ["m.a"], False),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, p array<string>, e array<string>, same boolean")
+    got = {r["i"]: r["m"] for r in df.select("i", fx.answers_match(F.col("p"), F.col("e")).alias("m")).collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_a_pattern_is_in_no_text_without_its_words(spark):
+    texts = spark.createDataFrame([(x,) for w in fx.WORDS.values() for a in w for x in (a, f"x {a} 1999", f"{a}y", a[1:], "none 1999", "")], "t string")
+    for pattern, words in fx.WORDS.items():
+        assert pattern in {p for _, p, _ in fx.TYPES}
+        assert texts.where(F.col("t").rlike(pattern)).where(~reduce(lambda a, b: a | b, [F.col("t").contains(w) for w in words])).isEmpty()
