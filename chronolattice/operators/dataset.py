@@ -273,10 +273,13 @@ def reviewed(samples: DataFrame) -> DataFrame:
 
 def review_summary(samples: DataFrame) -> DataFrame:
     """(metric, key, n): counts of accepted and rejected samples and of the twenty commonest reasons."""
-    r = reviewed(samples)
-    status = r.groupBy(F.when(F.size("filter_issues") == 0, "accepted").otherwise("rejected").alias("key")).agg(F.count("*").alias("n")).select(F.lit("status").alias("metric"), "key", "n")
-    reasons = r.select(F.explode("filter_issues").alias("key")).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(20).select(F.lit("reason").alias("metric"), "key", "n")
-    return status.unionByName(reasons)
+    # samples are read once: they are counted by their lists of reasons, which are few, and all else is made of these
+    lists = reviewed(samples).groupBy("filter_issues").agg(F.count("*").alias("n"))
+    status = F.struct(F.lit("status").alias("metric"), F.when(F.size("filter_issues") == 0, "accepted").otherwise("rejected").alias("key"))
+    reasons = F.transform("filter_issues", lambda x: F.struct(F.lit("reason").alias("metric"), x.alias("key")))
+    counts = lists.select("n", F.explode(F.concat(F.array(status), reasons)).alias("x")).groupBy("x.metric", "x.key").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("n"), "key"))
+    return counts.withColumn("__place", place).where("metric = 'status' or __place <= 20").select("metric", "key", "n")
 
 
 def review_totals(samples: DataFrame) -> DataFrame:

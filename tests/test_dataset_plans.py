@@ -169,3 +169,18 @@ def test_a_pattern_is_in_no_text_without_its_words(spark):
     for pattern, words in fx.WORDS.items():
         assert pattern in {p for _, p, _ in fx.TYPES}
         assert texts.where(F.col("t").rlike(pattern)).where(~reduce(lambda a, b: a | b, [F.col("t").contains(w) for w in words])).isEmpty()
+
+
+def test_statuses_and_reasons_come_from_one_pass(spark):
+    c = q._candidates(spark, SF)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("l_suppkey")
+    assert scans(ds.review_summary(c)) <= scans(ds.reviewed(c).select("filter_issues"))
+
+
+def test_review_counts_every_reason(spark):
+    raw = spark.createDataFrame([("a", "In 1999, what?", "(TC x)", "during"), ("b", "", "(TC x)", "during"), ("c", " ", None, "unknown"), ("d", "who of m.a1?", "null", "last")], "sample_id string, question string, s_expression string, temporal_type string")
+    s = raw.select("*", F.lit("synthetic").alias("source"), F.array(F.lit("m.x")).alias("answers"), F.lit("m.x").alias("topic_entity_mid"), F.array(F.lit("a.b")).alias("relation_ids"), F.struct(F.lit("s").alias("source_seed_id"), F.lit("m").alias("mined_fact_id")).alias("metadata"))
+    got = {(r["metric"], r["key"]): r["n"] for r in ds.review_summary(s).collect()}
+    want = {("status", "accepted"): 1, ("status", "rejected"): 3, ("reason", "question is required"): 2, ("reason", "s_expression is missing or null"): 2, ("reason", "temporal_type is unknown"): 1, ("reason", "question still contains raw mids"): 1, ("reason", "last sample must use ARGMAX"): 1, ("reason", "during sample should include a temporal value"): 1}
+    assert got == want
+    assert ds.review_summary(s.where("false")).count() == 0
