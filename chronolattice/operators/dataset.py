@@ -297,10 +297,14 @@ def verify_totals(verified: DataFrame) -> DataFrame:
 
 def training_summary(examples: DataFrame) -> DataFrame:
     """(metric, key, n): all examples, those with metadata (a source), and of these by source and type."""
-    told = examples.where(F.col("source").isNotNull())
-    by = summary(told, by_source=F.col("source"), by_temporal_type=F.coalesce("temporal_type", F.lit("unknown")))
-    totals = examples.agg(F.count("*").alias("total_examples"), F.count("source").alias("with_metadata"))
-    return totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("").alias("key"), F.col(c).alias("n")) for c in totals.columns])).alias("x")).select("x.*").unionByName(by)
+    # examples are read once: they are counted by source and type, which are few, and all else is made of these
+    counts = examples.groupBy("source", "temporal_type").agg(F.count("*").alias("n"))
+    row = lambda metric, key: F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"))
+    every = row("total_examples", F.lit(""))
+    told = [row("with_metadata", F.lit("")), row("by_source", F.col("source")), row("by_temporal_type", F.coalesce("temporal_type", F.lit("unknown")))]
+    rows = counts.select("n", F.explode(F.when(F.col("source").isNull(), F.array(every)).otherwise(F.array(every, *told))).alias("x"))
+    none = examples.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"), F.explode(F.array(every, told[0])).alias("x"))  # totals are there without examples too
+    return rows.unionByName(none).groupBy("x.metric", "x.key").agg(F.sum("n").alias("n")).select("metric", "key", "n")
 
 
 def distribution_filter(samples: DataFrame, *, family: int = 200, kind: int = 500, bucket: int = 300, least: int = 10, seed: int = 42) -> DataFrame:

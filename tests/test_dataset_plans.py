@@ -184,3 +184,18 @@ def test_review_counts_every_reason(spark):
     want = {("status", "accepted"): 1, ("status", "rejected"): 3, ("reason", "question is required"): 2, ("reason", "s_expression is missing or null"): 2, ("reason", "temporal_type is unknown"): 1, ("reason", "question still contains raw mids"): 1, ("reason", "last sample must use ARGMAX"): 1, ("reason", "during sample should include a temporal value"): 1}
     assert got == want
     assert ds.review_summary(s.where("false")).count() == 0
+
+
+def test_training_summary_reads_examples_once(spark):
+    e = review._examples(spark, SF)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("l_suppkey")
+    assert scans(ds.training_summary(e)) <= scans(e.select("source", "temporal_type"))
+
+
+def test_training_summary_counts_everything(spark):
+    e = spark.createDataFrame([("human", "last"), ("human", None), ("", "first"), (None, "last")], "source string, temporal_type string")
+    rows = lambda df: {(r["metric"], r["key"]): r["n"] for r in ds.training_summary(df).collect()}
+    want = {("total_examples", ""): 4, ("with_metadata", ""): 3, ("by_source", "human"): 2, ("by_source", ""): 1, ("by_temporal_type", "last"): 1, ("by_temporal_type", "unknown"): 1, ("by_temporal_type", "first"): 1}
+    assert rows(e) == want
+    assert rows(e.where("false")) == {("total_examples", ""): 0, ("with_metadata", ""): 0}
+    assert ds.training_summary(e).dtypes == [("metric", "string"), ("key", "string"), ("n", "bigint")]
